@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space between words, as regular-expression class content (Java, Python and RE2 alike).
@@ -60,3 +61,8 @@ def forget(df: DataFrame) -> None:
 def remainder(id_col: str, n: int):
     """crc32 of an id written as text, modulo ``n``: a split of the rows that doesn't depend on their order."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once for each row."""
+    return F.transform(F.array(value), body)[0]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import decontamination, language, packing, token_counts
+from tidemill.llm import decontamination, language, packing, quality, secrets, token_counts
 from tidemill.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,17 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.scan(docs.select("doc_id", "text"), secrets.train(docs))
+    counts = [F.size(F.filter("base_spans", secrets.is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.written(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.written(secrets.ordered("base_spans", "random_spans")).alias("spans"), F.size("random_spans").cast("long").alias("n_random"),
+    )
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -36,6 +48,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir)))
 
 
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
