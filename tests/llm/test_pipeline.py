@@ -1,0 +1,61 @@
+
+import corpus_pipeline as p
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests.llm.test_decontamination import brute as distance
+from tests.llm.test_jaccard_join import brute as near
+from tests.llm.test_secrets import brute as spans
+from tidemill.llm import decontamination
+
+ITEM = "Which metal melts below the warmth of a human hand and is safer than mercury"
+GERMAN = ["der hund läuft durch den garten und sucht nach einem knochen", "die katze schläft auf dem sofa und träumt von mäusen"]
+ENGLISH = ["the quick fox jumps over the lazy dog near the old mill", "a long walk along the river is the best part of the day"]
+
+
+def rows():
+    out = [(i, f"{ENGLISH[i % 2]} number {i} and then more words {i * 7} follow here {i}", "en") for i in range(1, 9)]
+    out += [(20 + i, f"{GERMAN[i % 2]} zahl {i} und dann noch mehr wörter {i} folgen", "de") for i in range(6)]
+    long = " ".join(f"word{i}" for i in range(60)) + " " + ENGLISH[0]
+    out += [(40, long, "en"), (41, long + " tail", "en"), (42, long, "en"), (42, long, "en"), (7, out[6][1], "en")]
+    out += [(50, f"before {ITEM} after the end of it", "en"), (51, f"x {ITEM.upper()[:-1]}z y", "en"), (52, "the token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" is the secret of the old mill", "en")]
+    out += [(60, None, "en"), (61, "", None), (62, "123 456", "en"), (63, "the long day " * 900, "en")]
+    return [(i, t, lang, None if i == 3 else "s", len(t or "")) for i, t, lang in out]
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    sf_dir = str(tmp_path)
+    spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS piece", "2 AS _n").write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = []
+    for k, (_, stage) in enumerate(p.STAGES):
+        out = stage(spark, docs, sf_dir)
+        assert k == 4 or out.columns == docs.columns
+        out.write.parquet(f"{sf_dir}/{k}")
+        docs = spark.read.parquet(f"{sf_dir}/{k}")
+        kept.append(docs.collect())
+    assert {r.doc_id for r in kept[0]} == {r[0] for r in rows()} - {60, 61, 62}
+    component = {i: c for i, (_, c) in near([(r.doc_id, r.text) for r in kept[0]]).items()}
+    assert sorted(r.doc_id for r in kept[1]) == sorted({i for i, c in component.items() if i == c})
+    fold = decontamination.fold
+    clean = {r.doc_id for r in kept[1] if distance(fold(ITEM), fold(r.text)) > int(decontamination.RATE * len(ITEM))}
+    assert {r.doc_id for r in kept[2]} == clean and 50 not in clean and 51 not in clean and len(clean) > 12
+    before = {r.doc_id: r for r in kept[2]}
+    for r in kept[3]:
+        if r.doc_id == 52:
+            assert r.text == "the [SECRET]\" is the secret of the old mill" and r.n_chars == len(r.text)
+        else:
+            assert r == before[r.doc_id] and not spans(r.text)
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in kept[3]:
+        n = len(exact.encode(r.text, add_special_tokens=False).ids) + 1
+        assert sum(x.length for x in kept[4] if x.doc_id == r.doc_id) == n
+    assert {x.doc_id for x in kept[4]} == {r.doc_id for r in kept[3]}
+
+
+def test_run_over_the_table(spark, sf_dir):
+    out = p.run(spark, sf_dir)
+    fill = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*"), F.sum("n")).first()
+    assert fill[0] <= 1024 and fill[1] <= fill[2] / 1024 * 1.02 + 1
