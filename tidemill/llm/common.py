@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -42,20 +43,24 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
 
     It cuts the lineage: a lost executor costs at most the tasks that ran on
     it, and what is used twice is computed once. The table goes when the
-    session ends.
+    session ends. The shuffle files behind it go as soon as the driver has
+    collected the finished plan, which it is asked to do.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a kept table that no later result reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemill-" in path:
-            _drop(df.sparkSession, path)
+def forget(*kept: DataFrame) -> None:
+    """Deletes the files of kept tables that no later result reads."""
+    for df in kept:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tidemill-" in path:
+                _drop(df.sparkSession, path)
 
 
 def remainder(id_col: str, n: int):

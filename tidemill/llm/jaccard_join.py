@@ -7,16 +7,18 @@ form a class and are handled once, so copies are never paired.
 *Prefixes.* One order of all shingles holds for every document: by hash, and
 after those the frequent shingles by frequency. Similar sets of ``n`` shingles
 share at least ``need = ceil(0.8 n)``, so they share ``k`` or more among
-their first ``n - need + k``. Each document takes its own ``k``: the higher the
-estimated cost of candidates (the frequencies of frequent shingles in its
-plain prefix), the longer its prefix and the more matches it asks for. A pair
-must share the smaller ``k`` of the two; that many matches are certain for a
-linked pair, so nothing is lost. Which shingles count as frequent only moves
-cost: the table of them has at most ``FREQUENT`` rows.
+their first ``n - need + k``. Each document takes its own ``k``: the more
+candidates it can expect for each shingle of its plain prefix, by the
+frequencies of frequent ones, the longer its prefix and the more matches it asks
+for, up to half of ``need``. A pair must share the smaller ``k`` of the two, and
+what it shares must reach the overlap it needs even if all that lies behind the
+prefixes were shared; both are certain for a linked pair, so nothing is lost.
+Which shingles count as frequent only moves cost: the table of them has at most
+``FREQUENT`` rows.
 
 *Links.* Classes first link to one hub each: of the classes that share one of
-their first shingles, the one met most often. That joins large groups of near
-copies by a number of pairs linear in their size. Then every pair that shares
+their least shingle hashes, the one met most often. That joins large groups of
+near copies by a number of pairs linear in their size. Then every pair that shares
 prefix shingles and is not yet in one component is counted, and those with
 enough matches are verified on whole sets. All links left out are between
 classes that already reach each other, so components are exact.
@@ -29,22 +31,21 @@ no component. Repeated rows are copies. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import keep
+from tidemill.llm.common import forget, keep
 from tidemill.llm.components import components
 
 WIDTH = 5
 PERCENT = 80
-FREQUENT = 1_000_000
-OFTEN = 64
-MOST_MATCHES = 8
-FIRST = 4
+FREQUENT = 500_000
+OFTEN = 4
+FIRST = 6
 BLOOM_BITS = 1 << 25
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -109,34 +110,37 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int =
             cold = n - len(hot)
             s = np.concatenate([s[~often], hot[rank]])
             cost = int(freq[rank][: max(0, n - need + 1 - cold)].sum())
-    k = min(need, MOST_MATCHES, 2 + int(math.log2(1 + cost / n)))
+    expected = cost / (n - need + 1)
+    k = min(need, 2 + int(need * min(0.5, 0.1 * math.log2(1 + expected))))
     return s[: n - need + k], k
 
 
-def _map(docs: DataFrame, rows: Callable[[object, np.ndarray], list[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
-    """``rows(doc_id, set)`` of each document."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate([np.zeros(0, dtype=np.uint64), *arrays]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                out = [r for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True) for r in rows(i, shingles(t.as_py()))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names)
 
-    return docs.mapInArrow(run, schema)
+def _sets(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Small batches with the sets of their texts, the second column."""
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            part = b.slice(at, size)
+            yield part, [shingles(t.as_py()) for t in part.column(1)]
 
 
 def _frequent(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are often in plain prefixes, and how often; all documents count."""
 
-    def plain(_: object, s: np.ndarray) -> list[tuple]:
-        return [(s[: len(s) - needed(len(s), percent) + 1].view(np.int64),)] if len(s) else []
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches):
+            t, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(s[: len(s) - needed(len(s), percent) + 1] for s in sets)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
-    # A frequency above OFTEN that leaves at most FREQUENT shingles, as each takes that many of all entries.
-    found = keep(_map(docs, plain, "tokens array<long>", [pa.list_(pa.int64())]).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "frequent")
+    found = keep(docs.mapInArrow(plain, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "frequent")
+    # Of shingles with at least this share of the total there can't be more than FREQUENT.
     total = found.agg(F.sum("n")).first()[0] or 0
     got = found.where(F.col("n") >= max(OFTEN, total / FREQUENT)).toArrow()
+    forget(found)
     tokens, counts = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
@@ -168,15 +172,18 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
                 at = b.column(k).to_numpy()
                 hit &= (bits[at // 64] >> (at % 64)) & 1 == 1
             few = b.filter(pa.array(hit))
-            out = [(class_id(s), i, s.view(np.int64)) for i, t in zip(few.column(0).to_pylist(), few.column(1), strict=True) if len(s := shingles(t.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["cid", "rep", "s"])
+            for part, found in _sets([few]):
+                cid = pa.array([class_id(s) for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([cid, part.column(0), _lists(found)], ["cid", "rep", "s"])
 
     sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[h.alias(f"h{k}") for k, h in enumerate(here)]).mapInArrow(passes, "cid long, rep long, s array<long>")
     sets = keep(sets.join(ids, ["cid", "rep"], "left_semi").select("cid", "s"), "sets")
     x, y = (sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
     both = F.size(F.array_intersect("sx", "sy"))
     union = F.size("sx") + F.size("sy") - both
-    return keep(pairs.join(x, "x").join(y, "y").where(both * 100 >= union * percent).select("x", "y").distinct(), "links")
+    links = keep(pairs.join(x, "x").join(y, "y").where(both * 100 >= union * percent).select("x", "y").distinct(), "links")
+    forget(sets, ids, pairs)
+    return links
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -185,18 +192,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     tokens, counts = _frequent(docs, percent)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
-    def entry(i: object, s: np.ndarray) -> list[tuple]:
-        if not len(s):
-            return [(i, None, 0, 0, [])]
-        p, k = prefix(s, *shared.value, percent)
-        return [(i, class_id(s), len(s), k, p.view(np.int64))]
+    def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets(batches):
+            found = [prefix(s, *shared.value, percent) if len(s) else (s, 0) for s in sets]
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
+                pa.array([k for _, k in found], pa.int64()), _lists([s[:FIRST] for s in sets]), _lists([p for p, _ in found]),
+            ], ["doc_id", "cid", "n", "k", "first", "tokens"])
 
-    entries = keep(_map(docs, entry, "doc_id long, cid long, n long, k int, tokens array<long>", [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]), "entries")
+    entries = keep(docs.mapInArrow(entry, "doc_id long, cid long, n long, k long, first array<long>, tokens array<long>"), "entries")
     usable = entries.where("cid IS NOT NULL AND doc_id IS NOT NULL")
     classes = keep(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k")), "classes")
     near = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-    first = keep(usable.select(F.explode(F.slice("tokens", 1, FIRST)).alias("token"), "cid", "n").distinct(), "first")
+    first = keep(usable.select(F.explode("first").alias("token"), "cid", "n").distinct(), "first")
     hub = F.struct("cid", "n")
     hubs = first.groupBy("token").agg(F.min(hub).alias("a"), F.max(hub).alias("b")).where("a.cid <> b.cid")
     hubs = hubs.select("token", F.explode(F.array("a", "b")).alias("h")).select("token", F.col("h.cid").alias("hub"), F.col("h.n").alias("hub_n"))
@@ -210,11 +219,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     posted = keep(posted.join(several, "token", "left_semi").distinct(), "posted")
     posted = posted.join(classes.select("cid", "n", "k"), "cid").join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     posted = keep(posted, "posted")
+    forget(first)
     open_lists = posted.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
     rest = keep(posted.join(open_lists, "token", "left_semi"), "posted")
     x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "comp", "n", "k")]) for side in "xy")
     pairs = x.join(y, "token").where((F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y")) & near("n_x", "n_y"))
-    pairs = pairs.groupBy("cid_x", "cid_y").agg(F.count("*").alias("m"), F.first(F.least("k_x", "k_y")).alias("k")).where("m >= k")
+    need = lambda n: F.ceil(F.col(n) * percent / 100)
+    behind = F.greatest(need("n_x") - F.col("k_x"), need("n_y") - F.col("k_y"))
+    least = F.greatest(F.least("k_x", "k_y"), F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent)) - behind)
+    pairs = pairs.groupBy("cid_x", "cid_y").agg(F.count("*").alias("m"), F.first(least).alias("least")).where("m >= least")
     more = _verified(docs, classes, pairs.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y")), percent)
 
     comp = components(links.unionByName(more)).withColumnRenamed("node", "cid")
