@@ -20,9 +20,10 @@ tree carries the length of the prefix shared with the last winner: the longer
 one wins unseen, and only equal lengths are compared, from there on.
 
 *Matches.* Suffixes with a common gram are neighbours in the merged order. Their
-windows are compared by content. A gram's neighbours that reach the border of a
-range may go on in the next; the windows of these few are counted by a
-128-bit hash over all ranges instead.
+windows are compared, by content or, where many differ, by a 128-bit hash. A
+gram's neighbours that reach the border of a range may go on in the next: of
+these few grams each range names its distinct windows, by hash, and those that
+two ranges name repeat.
 
 Null texts are empty. Texts shorter than a window lose nothing. Repeated rows
 repeat each other's strings, so they lose all windows. Other columns are ignored.
@@ -47,7 +48,7 @@ WIDTH = 200
 GRAM = 64
 SAMPLE = 20_000
 RUN = 50_000
-RANGE = 50_000
+RANGE = 20_000
 BLOOM_BITS = 1 << 27
 
 _BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
@@ -182,35 +183,51 @@ def decoded(heads: bytes, rests: bytes, lefts: bytes) -> Iterator[tuple[int, byt
         a, b = a + rest, b + left
 
 
-def repeated(group: list[tuple[bytes, tuple]], width: int) -> list[tuple[int, int, int, int]]:
+def repeated(group: list[tuple[bytes, tuple]], width: int, border: bool = False) -> tuple[list[tuple[int, int, int, int]], list[tuple]]:
     """``did, rid, begin, end`` of what repeats among suffixes with a common gram.
 
     ``near`` to ``len(left)`` are how far before the suffix its windows start.
     All those that repeat overlap, so the outermost two bound what they cover.
+    At a border, there follow the hashes of all windows, each once: with its place
+    where it occurs once here, with none where it is settled.
     """
     kinds: dict[tuple[bytes, bytes, int], list[tuple[int, int, int]]] = {}
     for s, (left, near, did, rid, at) in group:
         kinds.setdefault((left, s[:-8], near), []).append((did, rid, at))
-    seen: dict[tuple[int, bytes], int] = {}
-    texts = []
-    for (left, s, near), where in kinds.items():
+    hashed = border or len(kinds) > 100
+    seen: dict[bytes, int] = {}
+
+    def windows(left: bytes, s: bytes, near: int) -> Iterator[tuple[int, bytes]]:
         text, far = left + s, len(left)
-        texts.append((text, far, near, where))
-        if len(kinds) > 1:
-            for o in range(near, far + 1):
-                key = (o, text[far - o : far - o + width])
-                seen[key] = seen.get(key, 0) + len(where)
-    out = []
-    for text, far, near, where in texts:
+        for o in range(near, far + 1):
+            w = text[far - o : far - o + width]
+            yield o, xxhash.xxh3_128_digest(w) if hashed else w
+
+    if border or len(kinds) > 1:
+        for kind, where in kinds.items():
+            for _, w in windows(*kind):
+                seen[w] = seen.get(w, 0) + len(where)
+    out, open_ = [], []
+    for (left, s, near), where in kinds.items():
         if len(where) > 1:
-            hit = (far, near)
+            hit = (len(left), near)
+        elif not seen:
+            continue
         else:
-            found = [o for o in range(near, far + 1) if seen.get((o, text[far - o : far - o + width]), 0) > 1]
+            found = []
+            for o, w in windows(left, s, near):
+                if seen[w] > 1:
+                    found.append(o)
+                elif border:
+                    did, rid, at = where[0]
+                    open_.append((did, rid, at - o, at - o + width, w))
             if not found:
                 continue
             hit = (found[-1], found[0])
         out += [(did, rid, at - hit[0], at - hit[1] + width) for did, rid, at in where]
-    return out
+    if border:
+        open_ += [(None, None, None, None, w) for w, n in seen.items() if n > 1]
+    return out, open_
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
@@ -298,13 +315,10 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_range: in
         edge = part > 0
 
         def close(border: bool) -> None:
-            if border:
-                for s, (left, near, did, rid, at) in group:
-                    text, far = left + s[:-8], len(left)
-                    for o in range(near, far + 1):
-                        rows.append((did, rid, at - o, at - o + width, xxhash.xxh3_128_digest(text[far - o : far - o + width])))
-            elif len(group) > 1:
-                rows.extend((*r, None) for r in repeated(group, width))
+            if len(group) > 1 or border:
+                settled, open_ = repeated(group, width, border)
+                rows.extend((*r, None) for r in settled)
+                rows.extend(open_)
 
         columns = [table.column(c).to_pylist() for c in ("heads", "rests", "lefts")]
         for h, s, payload in merge([decoded(*x) for x in zip(*columns, strict=True)]):
@@ -319,7 +333,7 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_range: in
     found = keep(sent.groupBy("part").applyInArrow(merged, "did long, rid long, begin long, end long, w binary"), "matches")
     edges = found.where("w IS NOT NULL")
     twice = edges.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return found.where("w IS NULL").drop("w").unionByName(edges.join(twice, "w", "left_semi").drop("w"))
+    return found.where("w IS NULL").drop("w").unionByName(edges.where("did IS NOT NULL").join(twice, "w", "left_semi").drop("w"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, per_range: int = RANGE) -> DataFrame:
