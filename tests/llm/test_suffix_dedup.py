@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import pytest
 
 from tidemill.llm import suffix_dedup as d
+from tidemill.llm.registry import op3_suffix_dedup
 
 
 def brute(texts, width):
@@ -72,3 +74,11 @@ def test_dedup_equals_brute_force(spark, per_range):
 
 def test_empty_table(spark):
     assert d.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_on_whole_table(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.01", "sf0.001")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {r.doc_id: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for r, (kept, n, gone, spans) in zip(rows, brute([r.text for r in rows], 200), strict=True)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op3_suffix_dedup(spark, sf_dir).collect()}
+    assert got == want
