@@ -16,12 +16,15 @@ prefixes were shared; both are certain for a linked pair, so nothing is lost.
 Which shingles count as frequent only moves cost: the table of them has at most
 ``FREQUENT`` rows.
 
-*Links.* Classes first link to one hub each: of the classes that share one of
-their least shingle hashes, the one met most often. That joins large groups of
-near copies by a number of pairs linear in their size. Then every pair that shares
-prefix shingles and is not yet in one component is counted, and those with
-enough matches are verified on whole sets. All links left out are between
-classes that already reach each other, so components are exact.
+*Links.* Each class is first compared with one hub: of the classes that share one
+of its least shingle hashes, one met most often and of the most usual shingles.
+That joins large groups of near copies by a number of pairs linear in their size.
+What a class has in common with its hub also bounds its overlap with others of the
+same hub, which rules out most pairs of copies that are too far from each other.
+Then every other pair that shares prefix shingles and is not yet in one
+component is counted, and those with enough matches are compared on whole
+sets. All links left out are between classes that already reach each other, so
+components are exact.
 
 Null and empty texts have no shingle and link with nothing. Texts of fewer than
 five words have their whole sequence as one shingle. Rows without an id get
@@ -115,6 +118,14 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int =
     return s[: n - need + k], k
 
 
+def _commonness(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> float:
+    """Mean frequency of a set's shingles: highest, in a group of near copies, for the text that the others come from."""
+    if not len(s) or not len(tokens):
+        return 0.0
+    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+    return float(counts[at][tokens[at] == s].sum() / len(s))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     values = np.concatenate([np.zeros(0, dtype=np.uint64), *arrays]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values))
@@ -155,8 +166,8 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``x, y`` of classes that link, by their whole sets."""
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rest: bool = False) -> DataFrame:
+    """Pairs ``x, y`` of classes with the sizes of their whole sets and of what both hold; ``rest``: what only ``x`` holds, where half is common."""
     pairs = keep(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct().join(classes, "cid").select("cid", "rep")
     ids = keep(ids, "needed")
@@ -179,11 +190,34 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[h.alias(f"h{k}") for k, h in enumerate(here)]).mapInArrow(passes, "cid long, rep long, s array<long>")
     sets = keep(sets.join(ids, ["cid", "rep"], "left_semi").select("cid", "s"), "sets")
     x, y = (sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
-    both = F.size(F.array_intersect("sx", "sy"))
-    union = F.size("sx") + F.size("sy") - both
-    links = keep(pairs.join(x, "x").join(y, "y").where(both * 100 >= union * percent).select("x", "y").distinct(), "links")
+    sized = pairs.join(x, "x").join(y, "y").select("*", F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("both"))
+    only = F.when(F.col("both") * 3 >= F.col("nx") + F.col("ny"), F.array_except("sx", "sy")).alias("rest")
+    out = keep(sized.select("x", "y", "nx", "ny", "both", *[only] * rest).distinct(), "compared")
     forget(sets, ids, pairs)
-    return links
+    return out
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    link = F.col("both") * 100 >= (F.col("nx") + F.col("ny") - F.col("both")) * percent
+    return compared.where(link).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _bounds(compared: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cid, hub, common, own``: what bounds the overlap of two classes of one hub.
+
+    They share at most the lesser of what each has in ``common`` with the hub, and
+    besides that only shingles outside of it that another class has outside of
+    its hub as well; ``own`` counts a class's shingles of that kind.
+    """
+    tested = compared.where("rest IS NOT NULL")
+    outside = tested.select("x", F.explode("rest").alias("token"))
+    several = outside.groupBy("token").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("token")
+    own = outside.join(several, "token", "left_semi").groupBy("x").agg(F.count("*").alias("own"))
+    hubs = tested.select(F.col("y").alias("hub")).distinct()
+    others = tested.join(hubs, F.col("x") == F.col("hub"), "left_anti").join(own, "x", "left")
+    others = others.select(F.col("x").alias("cid"), F.col("y").alias("hub"), F.col("both").cast("long").alias("common"), F.coalesce("own", F.lit(0)).alias("own"))
+    themselves = hubs.join(classes, F.col("hub") == F.col("cid")).select("cid", "hub", F.col("n").alias("common"), F.lit(0).cast("long").alias("own"))
+    return keep(others.unionByName(themselves), "bounds")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -195,40 +229,42 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches):
             found = [prefix(s, *shared.value, percent) if len(s) else (s, 0) for s in sets]
+            usual = [_commonness(s, *shared.value) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
-                pa.array([k for _, k in found], pa.int64()), _lists([s[:FIRST] for s in sets]), _lists([p for p, _ in found]),
-            ], ["doc_id", "cid", "n", "k", "first", "tokens"])
+                pa.array([k for _, k in found], pa.int64()), pa.array(usual, pa.float64()), _lists([s[:FIRST] for s in sets]), _lists([p for p, _ in found]),
+            ], ["doc_id", "cid", "n", "k", "usual", "first", "tokens"])
 
-    entries = keep(docs.mapInArrow(entry, "doc_id long, cid long, n long, k long, first array<long>, tokens array<long>"), "entries")
+    entries = keep(docs.mapInArrow(entry, "doc_id long, cid long, n long, k long, usual double, first array<long>, tokens array<long>"), "entries")
     usable = entries.where("cid IS NOT NULL AND doc_id IS NOT NULL")
     classes = keep(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k")), "classes")
     near = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-    first = keep(usable.select(F.explode("first").alias("token"), "cid", "n").distinct(), "first")
-    hub = F.struct("cid", "n")
-    hubs = first.groupBy("token").agg(F.min(hub).alias("a"), F.max(hub).alias("b")).where("a.cid <> b.cid")
-    hubs = hubs.select("token", F.explode(F.array("a", "b")).alias("h")).select("token", F.col("h.cid").alias("hub"), F.col("h.n").alias("hub_n"))
-    met = first.join(hubs, "token").where((F.col("cid") != F.col("hub")) & near("n", "hub_n")).groupBy("cid", "hub").agg(F.count("*").alias("m"))
-    best = met.groupBy("cid").agg(F.max(F.struct("m", "hub")).alias("b")).select(F.least("cid", "b.hub").alias("x"), F.greatest("cid", "b.hub").alias("y")).distinct()
-    links = _verified(docs, classes, best, percent)
+    first = keep(usable.select(F.explode("first").alias("token"), "cid", "n", "usual").distinct(), "first")
+    hubs = first.groupBy("token").agg(F.max(F.struct("usual", "cid", "n")).alias("h"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b")
+    hubs = hubs.select("token", F.col("h.usual").alias("hub_usual"), F.col("h.cid").alias("hub"), F.col("h.n").alias("hub_n"))
+    met = first.join(hubs, "token").where((F.col("cid") != F.col("hub")) & near("n", "hub_n")).groupBy("cid", "hub").agg(F.struct(F.count("*").alias("m"), F.max("hub_usual"), "hub").alias("b"))
+    tested = _compared(docs, classes, met.groupBy("cid").agg(F.max("b").alias("b")).select(F.col("cid").alias("x"), F.col("b.hub").alias("y")), rest=True)
+    links, bounds = keep(_linked(tested, percent), "links"), _bounds(tested, classes)
     known = components(links)
 
     posted = usable.select(F.explode("tokens").alias("token"), "cid").repartition("token")
     several = posted.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("token")
-    posted = keep(posted.join(several, "token", "left_semi").distinct(), "posted")
-    posted = posted.join(classes.select("cid", "n", "k"), "cid").join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    found = keep(posted.join(several, "token", "left_semi").distinct(), "posted")
+    posted = found.join(classes.select("cid", "n", "k"), "cid").join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     posted = keep(posted, "posted")
-    forget(first)
+    forget(first, found, tested)
     open_lists = posted.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    rest = keep(posted.join(open_lists, "token", "left_semi"), "posted")
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "comp", "n", "k")]) for side in "xy")
-    pairs = x.join(y, "token").where((F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y")) & near("n_x", "n_y"))
+    rest = keep(posted.join(open_lists, "token", "left_semi").join(bounds, "cid", "left"), "posted")
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "comp", "n", "k", "hub", "common", "own")]) for side in "xy")
+    most = F.least("common_x", "common_y") + F.least("own_x", "own_y")
+    apart = (F.col("hub_x") == F.col("hub_y")) & (most * (100 + percent) < (F.col("n_x") + F.col("n_y")) * percent)
+    pairs = x.join(y, "token").where((F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y")) & near("n_x", "n_y") & ~F.coalesce(apart, F.lit(False)))
     need = lambda n: F.ceil(F.col(n) * percent / 100)
     behind = F.greatest(need("n_x") - F.col("k_x"), need("n_y") - F.col("k_y"))
     least = F.greatest(F.least("k_x", "k_y"), F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent)) - behind)
     pairs = pairs.groupBy("cid_x", "cid_y").agg(F.count("*").alias("m"), F.first(least).alias("least")).where("m >= least")
-    more = _verified(docs, classes, pairs.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y")), percent)
+    more = _linked(_compared(docs, classes, pairs.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y"))), percent)
 
     comp = components(links.unionByName(more)).withColumnRenamed("node", "cid")
     comp = classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
