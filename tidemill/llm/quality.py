@@ -15,8 +15,8 @@ squared distance exceeds ``limit`` is rejected. The limit is far out, since the
 rule is to drop rows unlike their source and not the tail of every source.
 
 Every step is a grouped sum or a grouped quantile sketch, both combined before
-the shuffle, so a source with a third of all rows is no burden to one task.
-The groups' estimates are joined by key; they are never collected.
+the shuffle, and rows meet their group's estimate by salted key, so a source
+with a third of all rows is no burden to one task. Estimates are never collected.
 
 Null texts count as empty and fail the base limits. Groups with fewer than
 ``least`` fitted rows are pooled by language; a pool that is still smaller has
@@ -36,6 +36,7 @@ H = 0.75
 STEPS = 3
 LEAST = 50
 LIMIT = 60.0
+SALTS = 16
 STATS = ("x0", "x1", "x2", "x3", "x4")
 #: Median of chi-square with as many degrees of freedom as there are statistics. Least spread of each statistic:
 #: most texts have no symbol and no repeat at all, and a group's zero spread must not condemn a few of them.
@@ -43,7 +44,7 @@ _CHI2_MEDIAN = {5: 4.351}
 _FLOOR = (0.3, 0.5, 0.4, 1.0, 0.8)
 
 #: Columns of these names in the input give way to the operator's own.
-RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "scale", "_w", "_g", "_own", "_pool", "_n", *STATS)
+RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "scale", "_w", "_g", "_own", "_pool", "_n", "_s", *STATS)
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -90,9 +91,15 @@ def vector() -> list[Column]:
         F.log(n.cast("double")), F.log((F.col("word_chars") + 1) / n) * 4, F.log1p(F.col("n_symbols") * 100 / n), F.log1p(F.col("n_dup_lines") * 100 / n), F.log1p(F.col("n_repeat_words") * 100 / n)), strict=True)]
 
 
+def _looked_up(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """``rows`` with the values of their group. Each group's row is laid out ``SALTS`` times, so a hot group's rows meet it in as many tasks."""
+    each = groups.withColumn("_s", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    return rows.join(each, ["_g", "_s"], how)
+
+
 def _measured(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with ``d2`` from the estimate of their group; null without one."""
-    out = rows.join(groups, "_g", "left")
+    out = _looked_up(rows, groups, "left")
     for i in range(len(STATS)):
         z = F.col(STATS[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -129,7 +136,7 @@ def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LE
     for _ in range(steps):
         near = _measured(rows, groups).where("d2 IS NOT NULL")
         cut = near.groupBy("_g").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
-        groups = keep(_estimate(near.join(cut, "_g").where(F.col("d2") <= F.col("cut"))), "mcd")
+        groups = keep(_estimate(_looked_up(near, cut, "inner").where(F.col("d2") <= F.col("cut"))), "mcd")
     scale = _measured(rows, groups).where("d2 IS NOT NULL").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
     return keep(groups.join(scale, "_g"), "mcd")
 
@@ -139,9 +146,11 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     docs = docs.select(text_col, lang_col, source_col, *[c for c in docs.columns if c not in (text_col, lang_col, source_col, *RESERVED)])
     pool = F.xxhash64(F.lit("pool"), F.col(lang_col), F.col(lang_col).isNull())
     group = F.xxhash64(F.col(lang_col), F.col(source_col), F.col(lang_col).isNull(), F.col(source_col).isNull())
-    rows = keep(statistics(docs, text_col).drop(text_col).select("*", base_failed().alias("base_failed"), group.alias("_own"), pool.alias("_pool"), *vector()), "statistics")
+    rows = statistics(docs, text_col).drop(text_col).select("*", base_failed().alias("base_failed"), group.alias("_own"), pool.alias("_pool"), *vector())
+    rows = keep(rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))), "statistics")
     large = rows.where("NOT base_failed").groupBy("_own").agg(F.count("*").alias("_n")).where(F.col("_n") >= fit.get("least", LEAST))
-    rows = rows.join(large, "_own", "left").withColumn("_g", F.when(F.col("_n").isNull(), F.col("_pool")).otherwise(F.col("_own"))).drop("_own", "_pool", "_n")
-    groups = estimates(rows.where("NOT base_failed").select("_g", *STATS), **fit)
+    large = large.select("_own", "_n").withColumnRenamed("_own", "_g")
+    rows = _looked_up(rows.withColumn("_g", F.col("_own")), large, "left").drop("_g").withColumn("_g", F.when(F.col("_n").isNull(), F.col("_pool")).otherwise(F.col("_own"))).drop("_own", "_pool", "_n")
+    groups = estimates(rows.where("NOT base_failed").select("_g", "_s", *STATS), **fit)
     out = _measured(rows, groups).withColumn("d2", F.col("d2") / F.col("scale"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)).drop("_g", "scale", *STATS)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)).drop("_g", "_s", "scale", *STATS)
