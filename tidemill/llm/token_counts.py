@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.tokens import TOKENIZER, encoder
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def token_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
