@@ -48,6 +48,7 @@ WIDTH = 5
 PERCENT = 80
 FREQUENT = 500_000
 OFTEN = 4
+HELD = 4_000_000
 FIRST = 6
 BLOOM_BITS = 1 << 25
 
@@ -139,15 +140,25 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[tuple[
             yield part, [shingles(t.as_py()) for t in part.column(1)]
 
 
-def _frequent(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are often in plain prefixes, and how often; all documents count."""
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are often in documents, and about how often: each task counts all of its own and passes on those it has met twice."""
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches):
-            t, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(s[: len(s) - needed(len(s), percent) + 1] for s in sets)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def repeats(sets: list[np.ndarray]) -> pa.RecordBatch:
+            t, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(t[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
 
-    found = keep(docs.mapInArrow(plain, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "frequent")
+        held: list[np.ndarray] = []
+        size = 0
+        for _, sets in _sets(batches):
+            held += sets
+            size += sum(map(len, sets))
+            if size >= HELD:
+                yield repeats(held)
+                held, size = [], 0
+        yield repeats(held)
+
+    found = keep(docs.mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "frequent")
     # Of shingles with at least this share of the total there can't be more than FREQUENT.
     total = found.agg(F.sum("n")).first()[0] or 0
     got = found.where(F.col("n") >= max(OFTEN, total / FREQUENT)).toArrow()
@@ -207,23 +218,24 @@ def _bounds(compared: DataFrame, classes: DataFrame) -> DataFrame:
 
     They share at most the lesser of what each has in ``common`` with the hub, and
     besides that only shingles outside of it that another class has outside of
-    its hub as well; ``own`` counts a class's shingles of that kind.
+    its hub as well; ``own`` lists a class's shingles of that kind.
     """
     tested = compared.where("rest IS NOT NULL")
     outside = tested.select("x", F.explode("rest").alias("token"))
     several = outside.groupBy("token").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("token")
-    own = outside.join(several, "token", "left_semi").groupBy("x").agg(F.count("*").alias("own"))
+    own = outside.join(several, "token", "left_semi").groupBy("x").agg(F.collect_list("token").alias("own"))
     hubs = tested.select(F.col("y").alias("hub")).distinct()
+    none = F.array().cast("array<long>")
     others = tested.join(hubs, F.col("x") == F.col("hub"), "left_anti").join(own, "x", "left")
-    others = others.select(F.col("x").alias("cid"), F.col("y").alias("hub"), F.col("both").cast("long").alias("common"), F.coalesce("own", F.lit(0)).alias("own"))
-    themselves = hubs.join(classes, F.col("hub") == F.col("cid")).select("cid", "hub", F.col("n").alias("common"), F.lit(0).cast("long").alias("own"))
+    others = others.select(F.col("x").alias("cid"), F.col("y").alias("hub"), F.col("both").cast("long").alias("common"), F.coalesce("own", none).alias("own"))
+    themselves = hubs.join(classes, F.col("hub") == F.col("cid")).select("cid", "hub", F.col("n").alias("common"), none.alias("own"))
     return keep(others.unionByName(themselves), "bounds")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` of each row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tokens, counts = _frequent(docs, percent)
+    tokens, counts = _frequent(docs)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +269,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     open_lists = posted.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
     rest = keep(posted.join(open_lists, "token", "left_semi").join(bounds, "cid", "left"), "posted")
     x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "comp", "n", "k", "hub", "common", "own")]) for side in "xy")
-    most = F.least("common_x", "common_y") + F.least("own_x", "own_y")
+    most = F.least("common_x", "common_y") + F.size(F.array_intersect("own_x", "own_y"))
     apart = (F.col("hub_x") == F.col("hub_y")) & (most * (100 + percent) < (F.col("n_x") + F.col("n_y")) * percent)
     pairs = x.join(y, "token").where((F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y")) & near("n_x", "n_y") & ~F.coalesce(apart, F.lit(False)))
     need = lambda n: F.ceil(F.col(n) * percent / 100)
