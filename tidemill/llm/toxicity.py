@@ -54,10 +54,29 @@ PATTERNS = (
 )
 
 
+def spelled(w: str) -> list[str]:
+    """A word and its beginnings marked with ``*``."""
+    return [w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)]
+
+
 def tokens(text: str | None) -> set[str]:
-    """Distinct words in lower case, and their beginnings marked with ``*``."""
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {f"{w[:k]}*" for w in words for k in BEGINNINGS if len(w) > k}
+    """Distinct words of a text in lower case, and their beginnings."""
+    return {t for w in set(_WORD.findall((text or "").lower())) for t in spelled(w)}
+
+
+class Lookup(dict):
+    """The numbers of a word's entries in an index, kept for words seen before."""
+
+    ROOM = 300_000
+
+    def __init__(self, index: dict) -> None:
+        self.index = index
+
+    def __missing__(self, w: str) -> tuple:
+        if len(self) >= self.ROOM:
+            self.clear()
+        self[w] = found = tuple(self.index[t] for t in spelled(w) if t in self.index)
+        return found
 
 
 @dataclass
@@ -71,25 +90,26 @@ def _counted(rows: DataFrame, wanted: dict[str, int] | None) -> DataFrame:
     """``token, n``: in how many texts each token is; only ``wanted`` ones if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lookup({t: t for t in wanted or ()})
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 n: Counter[str] = Counter()
                 for t in b.column(0).slice(at, 500):
-                    found = tokens(t.as_py())
-                    n.update(found if wanted is None else found & wanted.keys())
+                    text = t.as_py()
+                    n.update(tokens(text) if wanted is None else {x for w in set(_WORD.findall(text.lower())) for x in known[w]})
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["token", "n"])
 
     return rows.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def present(text: str | None, index: dict[str, int]) -> list[int]:
+def present(text: str | None, lookup: Lookup) -> list[int]:
     """Numbers of what is in a text: lexicon entries, and after those the other voters."""
     entries, words = set(), 0
     for w in set(_WORD.findall((text or "").lower())):
-        found = [j for t in (w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)) if (j := index.get(t)) is not None]
-        entries.update(found)
-        words += bool(found)
-    most = len(index)
+        if found := lookup[w]:
+            entries.update(found)
+            words += 1
+    most = len(lookup.index)
     extra = [not words, words > 1, words > 2, *(p.search(text or "") for _, p in PATTERNS)]
     return sorted(entries) + [most + i for i, x in enumerate(extra) if x]
 
@@ -191,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = len(lexicon) + EXTRA
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(lexicon)
         for b in batches:
-            found = [present(t.as_py(), lexicon) for t in b.column(1)]
+            found = [present(t.as_py(), lookup) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fired"])
 
     known = y.where("y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -209,10 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_ROWS / max(rows, 1)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, voting = Lookup(index), Lookup(lexicon)
         for b in batches:
             texts = [t.as_py() for t in b.column(0)]
-            found = [present(t, index) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(model.posterior([present(t, lexicon) for t in texts]))], ["x", "p"])
+            found = [present(t, every) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(model.posterior([present(t, voting) for t in texts]))], ["x", "p"])
 
     got = docs.where(part).select("text").mapInArrow(features, "x array<long>, p double").toArrow()
     weights, bias = fit_logistic(got.column("x").to_pylist(), got.column("p").to_numpy(), len(index) + EXTRA)
@@ -227,8 +249,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        lookup = Lookup(m.index)
         for b in batches:
-            x = [m.bias + m.weights[present(t.as_py(), m.index)].sum() for t in b.column(at)]
+            x = [m.bias + m.weights[present(t.as_py(), lookup)].sum() for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(np.array(x, dtype="float64"), -50, 50))))], [*kept, name])
 
     return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(name, "double"))
