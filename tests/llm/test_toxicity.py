@@ -36,6 +36,15 @@ def test_logistic_regression_fits():
     assert np.mean((p > 0) == np.array(y)) > 0.95 and abs(w[4]) < 1 < w[0]
 
 
+def test_numbers_of_voters(spark):
+    lexicon = t.Lexicon({"worm": 0, "vile*": 1, "crook": 2}, (1, 1), 2)
+    docs = spark.createDataFrame([(1, "you are a WORM, vilest"), (2, "crook!!"), (3, None), (4, "worm worm")], "doc_id long, text string")
+    got = {r.doc_id: (r.found, sorted(r.v)) for r in t.find(docs, lexicon).select("*", t.voices(F.col("found"), lexicon).alias("v")).collect()}
+    assert got[1] == ([0, 1, 4, 8, 10], [0, 1, 3, 7])  # both words vote; second-person address
+    assert got[2] == ([2, 7, 9], [2, 6])  # its only word has no vote; marks
+    assert got[3] == ([3, 9], [2]) and got[4] == ([0], [0])
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "you vile worm", 5), (3, "you vile worm", 5), (None, "fine day " * 50_000, 5)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")

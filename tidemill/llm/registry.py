@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, html_text, jaccard_join, language, packing, quality, secrets, suffix_dedup, token_counts, toxicity
-from tidemill.llm.common import documents, remainder
+from tidemill.llm.common import documents, keep, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +54,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
-    scored = toxicity.score(docs, toxicity.train(docs.where(~held_out), labels))
+    lexicon = toxicity.learn(docs.where(~held_out), labels)
+    found = keep(toxicity.find(docs, lexicon), "found")
+    scored = toxicity.rate(found, toxicity.fit(found.where(~held_out), labels, lexicon))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

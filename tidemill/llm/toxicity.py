@@ -17,11 +17,15 @@ correlations, so a word and its beginnings count once.
 labels of a sample of at most about ``MAX_ROWS`` training rows. Its output is
 the score. Only the text of a row is read to score it.
 
+Texts are read twice: once, the labelled ones, for the lexicon, and once for what
+each holds of it. All fitting and scoring works on those lists of numbers. Rows
+meet their labels in a sort-merge join at every size, since neither side is bounded.
+
 What leaves the executors is bounded by ``CANDIDATES``, ``VOTERS`` and
 ``MAX_ROWS``; counts cover all training rows. Null texts are empty and get the
 score of a text in which nothing fires. Without both kinds of labels every
 score is the labelled share of toxic rows (0 without labels). Labels that are
-null, or for unknown ids, are ignored. Repeated rows count each.
+null, or for unknown ids, are ignored. Repeated rows count each. Columns named like a result, ``_text`` or ``_found`` give way.
 """
 
 from __future__ import annotations
@@ -33,11 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import keep
+from tidemill.llm.common import forget, keep
 
 CANDIDATES = 20_000
 VOTERS = 300
@@ -80,11 +84,24 @@ class Lookup(dict):
 
 
 @dataclass
-class Model:
+class Lexicon:
+    """Entries with their numbers, most telling first; how many texts are labelled clean and toxic; how many entries vote."""
+
     index: dict[str, int]
+    labelled: tuple[int, int]
+    voters: int
+
+
+@dataclass
+class Model:
+    lexicon: Lexicon
     weights: np.ndarray
     bias: float
 
+    @property
+    def index(self) -> dict[str, int]:
+        return self.lexicon.index
+
 
 def _counted(rows: DataFrame, wanted: dict[str, int] | None) -> DataFrame:
     """``token, n``: in how many texts each token is; only ``wanted`` ones if given."""
@@ -102,21 +119,29 @@ def _counted(rows: DataFrame, wanted: dict[str, int] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def present(text: str | None, lookup: Lookup) -> list[int]:
-    """Numbers of what is in a text: lexicon entries, and after those the other voters."""
-    entries, words = set(), 0
+def present(text: str | None, lookup: Lookup, voters: int) -> list[int]:
+    """Numbers of what is in a text: lexicon entries, the classifier's other features, and how many words vote."""
+    entries, words, voting = set(), 0, 0
     for w in set(_WORD.findall((text or "").lower())):
         if found := lookup[w]:
             entries.update(found)
             words += 1
+            voting += min(found) < voters
     most = len(lookup.index)
-    extra = [not words, words > 1, words > 2, *(p.search(text or "") for _, p in PATTERNS)]
+    extra = [not words, words > 1, words > 2, *(p.search(text or "") for _, p in PATTERNS), not voting, voting > 1, voting > 2]
     return sorted(entries) + [most + i for i, x in enumerate(extra) if x]
 
 
 EXTRA = 3 + len(PATTERNS)
 
 
+def voices(found: Column, lexicon: Lexicon) -> Column:
+    """Of the numbers from ``present``, those of voters: the first entries, how many words vote, and the patterns."""
+    most, voters = len(lexicon.index), lexicon.voters
+    others = F.filter(found, lambda x: x >= most + 3)
+    return F.concat(F.filter(found, lambda x: x < voters), F.transform(others, lambda x: F.when(x < most + EXTRA, x - most).otherwise(x - most - EXTRA) + voters))
+
+
 class LabelModel:
     """Chances to fire given the label, a prior, and the weight of each voter's evidence."""
 
@@ -192,66 +217,87 @@ def fit_logistic(rows: list[list[int]], target: np.ndarray, size: int, steps: in
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = LEAST) -> Model:
-    """A model from training rows and the labels of some of them."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    y = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    labelled = keep(docs.join(y, "doc_id"), "labelled")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+
+def _marks(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = LEAST) -> Lexicon:
+    """The lexicon that the labels of training rows give; empty without both kinds of labels."""
+    labelled = keep(_texts(docs, id_col, text_col).join(_marks(labels, id_col, label_col).hint("merge"), "doc_id"), "labelled")
     n = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        share = n1 / max(n0 + n1, 1)
-        return Model({}, np.zeros(EXTRA), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return Lexicon({}, (n0, n1), 0)
     seen = {r.token: r.n for r in _counted(labelled.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(CANDIDATES).collect()}
     clean = {r.token: r.n for r in _counted(labelled.where("y = 0"), seen).collect()}
+    forget(labelled)
     ratio = {w: np.log((k + 0.5) / (n1 + 1)) - np.log((clean.get(w, 0) + 0.5) / (n0 + 1)) for w, k in seen.items()}
     ranked = sorted((w for w in seen if ratio[w] > LIFT), key=lambda w: (-ratio[w] * np.sqrt(seen[w]), w))
-    index = {w: j for j, w in enumerate(ranked)}
-    lexicon = {w: j for w, j in index.items() if j < VOTERS}
-    size = len(lexicon) + EXTRA
+    return Lexicon({w: j for j, w in enumerate(ranked)}, (n0, n1), min(VOTERS, len(ranked)))
+
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(lexicon)
+def find(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", name: str = "found") -> DataFrame:
+    """``docs`` with the numbers of what each text holds in place of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    kept = [c for c in docs.columns if c not in (name, text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, voters = Lookup(shared.value.index), shared.value.voters
         for b in batches:
-            found = [present(t.as_py(), lookup) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fired"])
+            found = [present(t.as_py(), lookup, voters) for t in b.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int64()))], [*kept, name])
+
+    return docs.select(*kept, text_col).mapInArrow(run, docs.select(*kept).schema.add(name, T.ArrayType(T.LongType())))
 
-    known = y.where("y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    votes = docs.mapInArrow(vote, docs.select("doc_id").schema.add("fired", T.ArrayType(T.LongType())))
-    patterns = keep(votes.join(known, "doc_id", "left").groupBy("fired", "y").agg(F.count("*").alias("n")), "votes")
-    rate = np.full((2, size), 0.01)
+
+def fit(found: DataFrame, labels: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", label_col: str = "toxic", name: str = "found") -> Model:
+    """A model from what training rows hold and the labels of some of them."""
+    n0, n1 = lexicon.labelled
+    if not n0 or not n1:
+        share = n1 / max(n0 + n1, 1)
+        return Model(lexicon, np.zeros(EXTRA), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    features, size = len(lexicon.index) + EXTRA, lexicon.voters + EXTRA
+    rows = found.select(F.col(id_col).alias("doc_id"), F.filter(name, lambda x: x < features).alias("x"), voices(F.col(name), lexicon).alias("fired"))
+    known = _marks(labels, id_col, label_col).where("y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    patterns = keep(rows.select("doc_id", "fired").join(known.hint("merge"), "doc_id", "left").groupBy("fired", "y").agg(F.count("*").alias("n")), "votes")
+    fires = np.full((2, size), 0.01)
     for r in patterns.where("y IS NOT NULL").select(F.explode("fired").alias("j"), "y", "n").groupBy("j", "y").agg(F.sum("n").alias("n")).collect():
-        rate[r.y, r.j] += r.n
-    model = LabelModel(rate[1] / (n1 + 1), rate[0] / (n0 + 1), n1 / (n0 + n1))
+        fires[r.y, r.j] += r.n
+    model = LabelModel(fires[1] / (n1 + 1), fires[0] / (n0 + 1), n1 / (n0 + n1))
     for _ in range(ROUNDS):
         model.refit(*_expected(patterns, model))
 
-    rows = patterns.agg(F.sum("n")).first()[0] or 0
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_ROWS / max(rows, 1)))
+    n = patterns.agg(F.sum("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_ROWS / max(n, 1)))
+    got = rows.where(part).select("x", "fired").toArrow()
+    return Model(lexicon, *fit_logistic(got.column("x").to_pylist(), model.posterior(got.column("fired").to_pylist()), features))
+
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, voting = Lookup(index), Lookup(lexicon)
+def rate(found: DataFrame, model: Model, found_col: str = "found", name: str = "score") -> DataFrame:
+    """``found`` with the chance of a toxic label in place of what the text holds."""
+    shared = found.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    kept = [c for c in found.columns if c not in (name, found_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
         for b in batches:
-            texts = [t.as_py() for t in b.column(0)]
-            found = [present(t, every) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(model.posterior([present(t, voting) for t in texts]))], ["x", "p"])
+            x = np.array([bias + sum(weights[j] for j in f if j < len(weights)) for f in b.column(len(kept)).to_pylist()], dtype="float64")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(x, -50, 50))))], [*kept, name])
 
-    got = docs.where(part).select("text").mapInArrow(features, "x array<long>, p double").toArrow()
-    weights, bias = fit_logistic(got.column("x").to_pylist(), got.column("p").to_numpy(), len(index) + EXTRA)
-    return Model(index, weights, bias)
+    return found.select(*kept, found_col).mapInArrow(run, found.select(*kept).schema.add(name, "double"))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the chance of a toxic label."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != name]
-    at = kept.index(text_col)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = LEAST) -> Model:
+    """A model from training rows and the labels of some of them."""
+    lexicon = learn(docs, labels, id_col, text_col, label_col, least)
+    found = keep(find(docs.select(id_col, text_col), lexicon, text_col), "found")
+    return fit(found, labels, lexicon, id_col, label_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lookup = Lookup(m.index)
-        for b in batches:
-            x = [m.bias + m.weights[present(t.as_py(), lookup)].sum() for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(np.array(x, dtype="float64"), -50, 50))))], [*kept, name])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(name, "double"))
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the chance of a toxic label."""
+    return rate(find(docs.withColumn("_text", F.col(text_col)), model.lexicon, "_text", "_found"), model, "_found", name)
