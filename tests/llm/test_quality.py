@@ -45,5 +45,19 @@ def test_outliers_of_their_source_go(spark):
     assert not any(got[1000 + i] for i in range(40))
 
 
+def test_each_repeat_statistic_can_reject(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, "\n".join(line(10) for _ in range(rng.randrange(8, 40))), "en", "s") for i in range(300)]
+    rows += [(1000 + i, "\n".join(f"{line(10)}\nread on" for _ in range(20)), "en", "s") for i in range(8)]  # a label between most lines
+    again = [line(20) for _ in range(8)]
+    rows += [(2000 + i, f"{again[i]} {line(90)} {again[i]} {line(90)}", "en", "s") for i in range(8)]  # 18 % of the words, no line twice
+    got = {r.doc_id: r for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and all(got[i].kept for i in range(300))
+    assert all(got[1000 + i].n_dup_lines == 19 and got[1000 + i].n_repeat_words == 0 and not got[1000 + i].kept for i in range(8))
+    assert all(got[2000 + i].n_dup_lines == 0 and got[2000 + i].n_repeat_words == 40 and not got[2000 + i].kept for i in range(8))
+
+
 def test_empty_table(spark):
     assert q.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0

@@ -7,12 +7,19 @@ row's window hashes (64 bits over the words' own hashes) with their places.
 Outliers: rows that pass the base limits give a vector of transformed
 statistics (log words, mean word length, symbols, repeated lines and repeated
 words by word). For each language and source a minimum-covariance-determinant
-estimate is found by concentration steps: from coordinate-wise medians and
-spreads, each step takes the ``H`` part of rows nearest by Mahalanobis distance
-and refits mean and covariance to them. The covariance is scaled so that the
+estimate is found by concentration steps: each takes the ``H`` part of rows
+nearest by Mahalanobis distance and refits mean and covariance to them. Three
+starts (medians with spreads from the quartiles, medians with equal spreads, mean
+and covariance of all rows) get ``TRIAL`` steps each; the one with the least
+determinant goes on until its determinant settles. The covariance is scaled so that the
 median squared distance is that of a chi-square variable, and a row whose
-squared distance exceeds ``limit`` is rejected. The limit is far out, since the
-rule is to drop rows unlike their source and not the tail of every source.
+squared distance exceeds ``limit``, the 99.99 % quantile of that variable, is rejected.
+
+Most texts have no symbol and no repeat at all, so without a floor a source's spread
+of those is zero and any repeat in it would be an outlier. The floors are below
+what one statistic can reach within the base limits, so each can reject alone:
+symbols above 7 and repeated lines above 4 for 100 words, repeated words above
+12 %, in a source that has none.
 
 Every step is a grouped sum or a grouped quantile sketch, both combined before
 the shuffle, and rows meet their group's estimate by salted key, so a source
@@ -33,18 +40,20 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import SPACE, keep, let
 
 H = 0.75
-STEPS = 3
+TRIAL = 2
+STEPS = 20
+SETTLED = 1e-3
 LEAST = 50
-LIMIT = 60.0
+#: 99.99 % quantile of chi-square with 5 degrees of freedom.
+LIMIT = 25.745
 SALTS = 16
 STATS = ("x0", "x1", "x2", "x3", "x4")
-#: Median of chi-square with as many degrees of freedom as there are statistics. Least spread of each statistic:
-#: most texts have no symbol and no repeat at all, and a group's zero spread must not condemn a few of them.
+#: Median of chi-square with as many degrees of freedom as there are statistics. Least spread of each statistic.
 _CHI2_MEDIAN = {5: 4.351}
-_FLOOR = (0.3, 0.5, 0.4, 1.0, 0.8)
+_FLOOR = (0.3, 0.4, 0.4, 0.3, 0.5)
 
 #: Columns of these names in the input give way to the operator's own.
-RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "scale", "_w", "_g", "_own", "_pool", "_n", "_s", *STATS)
+RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "scale", "_w", "_g", "_t", "_own", "_pool", "_n", "_s", *STATS)
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -98,45 +107,66 @@ def _looked_up(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
 
 
 def _measured(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` with ``d2`` from the estimate of their group; null without one."""
+    """``rows`` with ``d2`` from each estimate of their group; null without one."""
     out = _looked_up(rows, groups, "left")
     for i in range(len(STATS)):
         z = F.col(STATS[i]) - F.col(f"m{i}")
         for k in range(i):
             z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(STATS))), F.col("z0") * F.col("z0"))).select(*rows.columns, "d2", *[c for c in ("scale",) if c in groups.columns])
+    return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(STATS))), F.col("z0") * F.col("z0"))).select(*rows.columns, "d2", *[c for c in ("scale", "_t") if c in groups.columns])
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance by group, with a floor on each spread."""
+def _estimate(rows: DataFrame, by: tuple[str, ...] = ("_g", "_t")) -> DataFrame:
+    """Mean and Cholesky factor of the covariance by group, with a floor on each spread, and the log of the determinant."""
     d = len(STATS)
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)] + [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)]
-    out = rows.groupBy("_g").agg(*sums)
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), *sums)
     for i in range(d):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") + (F.lit(_FLOOR[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("_g", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(1, d)), 2 * F.log("l00"))
+    return out.withColumn("det", det).select(*by, "n", "det", *_PARTS)
+
+
+_PARTS = [f"m{i}" for i in range(len(STATS))] + [f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
 
 
-def _start(rows: DataFrame, least: int) -> DataFrame:
-    """Medians, and spreads from the quartiles, as a diagonal estimate."""
+def _starts(rows: DataFrame, least: int) -> DataFrame:
+    """Three estimates of each group, numbered ``_t``."""
     d = len(STATS)
     q = rows.groupBy("_g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(STATS)]).where(F.col("n") >= least)
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2 * _FLOOR[i]))
-    return q.select("_g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(d)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
+    medians = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(d)]
+    diagonal = lambda t, size: q.select("_g", F.lit(t).alias("_t"), *medians, *[(size(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
+    whole = _estimate(rows, ("_g",)).where(F.col("n") >= least).select("_g", F.lit(2).alias("_t"), *_PARTS)
+    return diagonal(0, spread).unionByName(diagonal(1, lambda i: F.lit(1.0))).unionByName(whole)
+
+
+def _step(rows: DataFrame, groups: DataFrame, h: float) -> DataFrame:
+    """Each estimate refitted to the ``h`` part of its group's rows that are nearest to it."""
+    near = _measured(rows, groups.select("_g", "_t", *_PARTS)).where("d2 IS NOT NULL")
+    cut = near.groupBy("_g", "_t").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
+    each = cut.withColumn("_s", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    return keep(_estimate(near.join(each, ["_g", "_t", "_s"]).where(F.col("d2") <= F.col("cut"))), "mcd")
 
 
 def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST) -> DataFrame:
     """The groups' estimates from rows of ``_g`` and ``STATS``, with the ``scale`` of squared distances."""
-    groups = keep(_start(rows, least), "mcd")
-    for _ in range(steps):
-        near = _measured(rows, groups).where("d2 IS NOT NULL")
-        cut = near.groupBy("_g").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
-        groups = keep(_estimate(_looked_up(near, cut, "inner").where(F.col("d2") <= F.col("cut"))), "mcd")
+    groups = keep(_starts(rows, least), "mcd")
+    for _ in range(TRIAL):
+        groups = _step(rows, groups, h)
+    best = F.min_by(F.struct("_t", "det", *_PARTS), F.struct("det", "_t")).alias("best")
+    groups = keep(groups.groupBy("_g").agg(best).select("_g", "best.*"), "mcd")
+    for _ in range(steps - TRIAL):
+        before, groups = groups, _step(rows, groups, h)
+        moved = groups.join(before.select("_g", F.col("det").alias("was")), "_g").agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
+    groups = groups.select("_g", *_PARTS)
     scale = _measured(rows, groups).where("d2 IS NOT NULL").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
     return keep(groups.join(scale, "_g"), "mcd")
 
