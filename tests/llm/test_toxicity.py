@@ -59,6 +59,22 @@ def test_edges(spark):
     assert t.score(docs.limit(0), m).count() == 0 and t.train(docs.limit(0), labels).index == {}
 
 
+def test_rare_toxic_words_are_compared_behind_many_frequent_ones(spark):
+    spell = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    ordinary = " ".join(f"{spell(k)}k" for k in range(20_500))  # in every text, so more frequent than any toxic word
+    rows = [(i, ordinary) for i in range(30)] + [(100 + i, f"{ordinary}{' zzqy' if i < 6 else ''}") for i in range(12)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    lexicon = t.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels)
+    assert list(lexicon.index) == ["zzqy"] and lexicon.labelled == (30, 12)
+
+
+def test_counts_of_clean_and_toxic_texts(spark, monkeypatch):
+    texts = [("vile worm worm", 1), ("worms", 1), ("a worm", 0), ("Worm", 0), ("odd", 2)]
+    monkeypatch.setattr(t, "ROOM", 3)
+    got = {r.token: (r.n0, r.n1) for r in t._counted(spark.createDataFrame(texts, "text string, y int")).collect()}
+    assert got == {"vile": (0, 1), "worm": (2, 1), "worms": (0, 1), "worm*": (0, 1), "a": (1, 0)}
+
+
 def test_held_out_rows(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.01", "sf0.1")  # enough positives to measure on
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -21,8 +21,12 @@ Texts are read twice: once, the labelled ones, for the lexicon, and once for wha
 each holds of it. All fitting and scoring works on those lists of numbers. Rows
 meet their labels in a sort-merge join at every size, since neither side is bounded.
 
-What leaves the executors is bounded by ``CANDIDATES``, ``VOTERS`` and
-``MAX_ROWS``; counts cover all training rows. Null texts are empty and get the
+Every token of labelled texts is counted, toxic and clean texts side by side, in
+one distributed aggregation. Those in ``least`` toxic texts or more whose log
+ratio passes ``LIFT`` are the lexicon, all of them: nothing is cut by frequency
+or rank, so the lexicon that is broadcast grows with the number of telling
+tokens. Voters are its first ``VOTERS`` entries, and the classifier's rows are
+bounded by ``MAX_ROWS``; counts cover all training rows. Null texts are empty and get the
 score of a text in which nothing fires. Without both kinds of labels every
 score is the labelled share of toxic rows (0 without labels). Labels that are
 null, or for unknown ids, are ignored. Repeated rows count each. Columns named like a result, ``_text`` or ``_found`` give way.
@@ -43,7 +47,8 @@ from pyspark.sql import types as T
 
 from tidemill.llm.common import forget, keep
 
-CANDIDATES = 20_000
+#: Tokens that a task counts before it sends what it has.
+ROOM = 200_000
 VOTERS = 300
 MAX_ROWS = 50_000
 LEAST = 5
@@ -63,11 +68,6 @@ def spelled(w: str) -> list[str]:
     return [w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)]
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct words of a text in lower case, and their beginnings."""
-    return {t for w in set(_WORD.findall((text or "").lower())) for t in spelled(w)}
-
-
 class Lookup(dict):
     """The numbers of a word's entries in an index, kept for words seen before."""
 
@@ -103,20 +103,39 @@ class Model:
         return self.lexicon.index
 
 
-def _counted(rows: DataFrame, wanted: dict[str, int] | None) -> DataFrame:
-    """``token, n``: in how many texts each token is; only ``wanted`` ones if given."""
+class Spelled(dict):
+    """The tokens of a word, kept for words seen before."""
+
+    def __missing__(self, w: str) -> list[str]:
+        if len(self) >= ROOM:
+            self.clear()
+        self[w] = found = spelled(w)
+        return found
+
+
+def _counted(labelled: DataFrame) -> DataFrame:
+    """``token, n0, n1``: in how many clean and toxic texts each token is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lookup({t: t for t in wanted or ()})
+        known, n = Spelled(), (Counter(), Counter())
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for y, counts in enumerate(n):
+                names, sizes = list(counts), list(counts.values())
+                for at in range(0, len(names), 10_000):
+                    part = pa.array(sizes[at : at + 10_000], pa.int64())
+                    none = pa.array(np.zeros(len(part), dtype="int64"))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 10_000], pa.string()), none if y else part, part if y else none], ["token", "n0", "n1"])
+                counts.clear()
+
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                n: Counter[str] = Counter()
-                for t in b.column(0).slice(at, 500):
-                    text = t.as_py()
-                    n.update(tokens(text) if wanted is None else {x for w in set(_WORD.findall(text.lower())) for x in known[w]})
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["token", "n"])
+            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                n[y].update({x for w in set(_WORD.findall(t.as_py().lower())) for x in known[w]})
+                if len(n[0]) + len(n[1]) >= ROOM:
+                    yield from sent()
+        yield from sent()
 
-    return rows.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return labelled.where("y IN (0, 1)").select("text", "y").mapInArrow(run, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def present(text: str | None, lookup: Lookup, voters: int) -> list[int]:
@@ -232,11 +251,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return Lexicon({}, (n0, n1), 0)
-    seen = {r.token: r.n for r in _counted(labelled.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(CANDIDATES).collect()}
-    clean = {r.token: r.n for r in _counted(labelled.where("y = 0"), seen).collect()}
+    ratio = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    got = _counted(labelled).where(F.col("n1") >= least).select("token", "n1", ratio.alias("ratio")).where(F.col("ratio") > LIFT)
+    ranked = [r.token for r in got.orderBy(F.desc(F.col("ratio") * F.sqrt("n1")), "token").select("token").collect()]
     forget(labelled)
-    ratio = {w: np.log((k + 0.5) / (n1 + 1)) - np.log((clean.get(w, 0) + 0.5) / (n0 + 1)) for w, k in seen.items()}
-    ranked = sorted((w for w in seen if ratio[w] > LIFT), key=lambda w: (-ratio[w] * np.sqrt(seen[w]), w))
     return Lexicon({w: j for j, w in enumerate(ranked)}, (n0, n1), min(VOTERS, len(ranked)))
 
 
