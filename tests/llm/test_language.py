@@ -41,6 +41,22 @@ def test_edges(spark):
     assert language.predict(df.limit(0), model(spark)).count() == 0
 
 
+def test_results_do_not_depend_on_what_is_broadcast(spark):
+    hot = [(f"alpha beta gamma delta word{chr(97 + i % 26)}", "en") for i in range(300)]
+    df = spark.createDataFrame([*hot, ("alphi beto", "sv"), ("alphi gammo", "sv"), *ROWS], "text string, lang string")
+    texts = [None, "", "12 !?", "alphi", "alphi alphi beto", "ALPHI beta", "hunde der alphiz", "the cat", "the cat", "alpha 漢字"]
+    docs = spark.createDataFrame([(i, x, 9) for i, x in enumerate(texts)], "doc_id long, text string, score int")
+    whole = {r.doc_id: r for r in language.predict(docs, language.train(df)).collect()}
+    for most in (1, 8):
+        small = language.train(df, max_words=most)
+        assert len(small.words) == most and small.rest is not None and small.rest.count() > 10
+        out = language.predict(docs, small)
+        assert out.columns == ["doc_id", "text", "lang_pred", "score"] and out.count() == len(texts)
+        for r in out.collect():
+            assert r.lang_pred == whole[r.doc_id].lang_pred and np.isclose(r.score, whole[r.doc_id].score, rtol=1e-4), texts[r.doc_id]
+    assert [whole[i].lang_pred for i in range(5)] == ["und"] * 3 + ["sv"] * 2
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = documents(spark, sf_dir)
     out = language.predict(docs, language.train(docs.where(remainder("doc_id", 3) != 1))).where(remainder("doc_id", 3) == 1)

@@ -7,9 +7,12 @@ An unseen word votes with the mean over its positions of the longest n-gram
 known there, so it falls back from four characters to one. A text's votes are
 summed; the score is the winner's share after a soft maximum.
 
-The model has a fixed size: ``max_words`` words and ``max_grams`` n-grams, the
-most frequent first. That is the bound on what is broadcast; rarer words are
-scored through their n-grams. Counts cover all labelled rows.
+No word and no n-gram is cut. All n-grams are broadcast, and of the words the
+``max_words`` most frequent; that number is only where a word's votes are looked
+up. Other words of a text leave it with their number, are joined as distinct
+words with the whole count table, or scored by n-grams if it has none of them,
+and their votes are added to the text's by a hash of the text (64 bits, and its
+length). So results are the same for any ``max_words``.
 
 Null texts and texts without a letter get ``und`` and score 0, and so does
 everything if there is no labelled row. Labels that are null are not learned.
@@ -19,18 +22,19 @@ Ties go to the first language in alphabetical order. Texts are read whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import keep
+from tidemill.llm.common import keep, let
 
 MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
 LONGEST = 4
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,6 +47,8 @@ class Model:
     word_votes: np.ndarray
     grams: list[str]
     gram_votes: np.ndarray
+    #: ``word, votes`` of the words that are not in ``words``; none if all are.
+    rest: DataFrame | None = None
 
 
 def _votes(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -51,11 +57,20 @@ def _votes(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum(axis=1, keepdims=True)).astype("float32")
 
 
-def _top(counts: DataFrame, key: str, languages: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    wide = counts.groupBy(key).agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)])
-    got = wide.orderBy(F.desc("all"), key).limit(most).toArrow()
+def _wide(counts: DataFrame, key: str, languages: list[str]) -> DataFrame:
+    return counts.groupBy(key).agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)])
+
+
+def _got(wide: DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
+    got = wide.toArrow()
     table = np.stack([got.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype("float64") if got.num_rows else np.zeros((0, len(languages)))
-    return got.column(key).to_pylist(), table
+    return got.column(key).to_pylist(), table, got.column("all").to_pylist()
+
+
+def _votes_column(totals: np.ndarray) -> Column:
+    """``_votes`` of the columns ``n0``, ``n1``, ..."""
+    p = [(F.col(f"n{i}") + float(0.05 * x / totals.max())) / float(x) for i, x in enumerate(totals)]
+    return let(F.array(*p), lambda a: let(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), lambda s: F.transform(a, lambda x: F.log(x / s).cast("float"))))
 
 
 def _grams(k: int) -> Column:
@@ -63,7 +78,7 @@ def _grams(k: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("w"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS) -> Model:
     words = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), r"[^\p{L}]+")).alias("word"))
     counts = keep(words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -71,12 +86,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     if not languages:
         return Model([], [], np.zeros((0, 0), "float32"), [], np.zeros((0, 0), "float32"))
     size = np.array([totals[x] for x in languages], dtype="float64")
-    known, table = _top(counts, "word", languages, max_words)
+    wide = keep(_wide(counts, "word", languages), "wide")
+    known, table, often = _got(wide.orderBy(F.desc("all"), "word").limit(max_words), "word", languages)
+    rest = None
+    if wide.count() > len(known):
+        behind = F.lit(True) if not known else (F.col("all") < often[-1]) | ((F.col("all") == often[-1]) & (F.col("word") > known[-1]))
+        rest = wide.where(behind).select("word", _votes_column(size).alias("votes"))
     marked = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
     cuts = F.flatten(F.array(*[_grams(k) for k in range(1, LONGEST + 1)]))
     grams = marked.select("lang", "n", F.explode(cuts).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    pieces, gram_table = _top(grams, "gram", languages, max_grams)
-    return Model(languages, known, _votes(table, size), pieces, _votes(gram_table, size))
+    pieces, gram_table, _ = _got(_wide(grams, "gram", languages), "gram", languages)
+    return Model(languages, known, _votes(table, size), pieces, _votes(gram_table, size), rest)
 
 
 class _Scorer:
@@ -126,8 +146,61 @@ class _Scorer:
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def _parts(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """By hash and size of a text: whether it has a word, the votes of its words in the model, and its other words with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        index = {w: i for i, w in enumerate(model.words)}
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                some, sums, other = [], [], []
+                for t in part.column(2):
+                    n = Counter(_WORD.findall(t.as_py().lower()))
+                    known = [(index[w], k) for w, k in n.items() if w in index]
+                    at_, k_ = (np.array(c, dtype="int64") for c in (zip(*known, strict=True) if known else ((), ())))
+                    some.append(bool(n))
+                    sums.append((model.word_votes[at_].astype("float64") * k_[:, None]).sum(axis=0))
+                    other.append([{"word": w, "n": k} for w, k in n.items() if w not in index])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(some), pa.array(sums, pa.list_(pa.float64())), pa.array(other, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))], ["_hash", "_size", "some", "sums", "other"])
+
+    return texts.mapInArrow(run, "_hash long, _size int, some boolean, sums array<double>, other array<struct<word: string, n: long>>")
+
+
+def _unseen_votes(words: DataFrame, shared: Broadcast) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.unseen(w) for w in b.column(0).to_pylist()], pa.list_(pa.float32()))], ["word", "votes"])
+
+    return words.mapInArrow(run, "word string, votes array<float>")
+
+
+def _predict_joined(docs: DataFrame, model: Model, text_col: str, pred: str, score: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    langs, key = range(len(model.languages)), ["_hash", "_size"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = [F.xxhash64(text).alias("_hash"), F.length(text).alias("_size")]
+    parts = keep(_parts(docs.select(*hashed, text.alias("text")), shared), "parts").dropDuplicates(key)
+    other = parts.select(*key, F.inline("other"))
+    asked = keep(other.select("word").distinct().join(model.rest, "word", "left"), "asked")
+    votes = asked.where("votes IS NOT NULL").unionByName(_unseen_votes(asked.where("votes IS NULL").select("word"), shared))
+    added = other.join(keep(votes, "votes"), "word").groupBy(*key).agg(*[F.sum(F.col("n") * F.col("votes")[i].cast("double")).alias(f"a{i}") for i in langs])
+    total = F.array(*[F.col("sums")[i] + F.coalesce(F.col(f"a{i}"), F.lit(0.0)) for i in langs])
+    most = F.array_max("total")
+    best = F.get(F.array(*[F.lit(x) for x in model.languages]), F.array_position("total", most).cast("int") - 1)
+    share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - most))
+    found = parts.select(*key, "some", "sums").join(added, key, "left").select(*key, "some", total.alias("total"))
+    found = keep(found.select(*key, F.when(F.col("some"), best).otherwise(UNKNOWN).alias(pred), F.when(F.col("some"), share).otherwise(0.0).alias(score)), "found")
+    docs = docs.drop(pred, score)
+    return docs.select("*", *hashed).join(found, key).select(*docs.columns, pred, score)
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score; only the text is read."""
+    if model.rest is not None:
+        return _predict_joined(docs, model, text_col, pred, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     kept = [c for c in docs.columns if c not in (pred, score)]
