@@ -1,6 +1,11 @@
 import random
+import statistics
+
+import pytest
 
 from tidemill.operators.joins import asof_backward, band_join
+from tidemill.operators.quantiles import exact_quantile
+from tidemill.plans.registry import events_by_day
 
 
 def test_asof_against_brute_force(spark):
@@ -21,3 +26,26 @@ def test_band_join_against_brute_force(spark):
     got = band_join(spark.createDataFrame(left, "id int, x int"), spark.createDataFrame(right, "b int, lo int, hi int"), "x", "lo", "hi", 4).select("id", "b").collect()
     want = [(i, b) for i, x in left for b, lo, hi in right if x is not None and hi is not None and lo <= x <= hi]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.37, 0.5, 1.0])
+def test_exact_quantile_against_brute_force(spark, p):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.random(), rng.randrange(5) / 1.0])) for _ in range(3000)] + [("c", None), ("d", 2.5)]
+    got = {r.k: r.quantile for r in exact_quantile(spark.createDataFrame(rows, "k string, v double"), "k", "v", p, accuracy=50).collect()}
+    assert set(got) == {"a", "b", "c", "d", None} and got["c"] is None and got["d"] == 2.5
+    for k in ("a", "b", None):
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        at = p * (len(v) - 1)
+        assert got[k] == pytest.approx(v[int(at)] + (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]) * (at - int(at)), abs=1e-12)
+        assert p != 0.5 or got[k] == pytest.approx(statistics.median(v))
+
+
+def test_days_do_not_depend_on_the_session_zone(spark, sf_dir):
+    here = sorted(map(tuple, events_by_day(spark, sf_dir).collect()))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted(map(tuple, events_by_day(spark, sf_dir).collect())) == here
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -14,17 +14,20 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, take: lis
     carried forward, so no pair of rows is ever built and the only shuffle is
     the one on the key. Right rows at the same instant count as not later; of
     several at one instant the largest ``take`` values win. A left row without
-    such a right row gets nulls. Null keys match nothing.
+    such a right row gets nulls. Null keys match nothing and stay out of the
+    shuffle, so they don't meet in one task.
     """
     names = left.columns
     none = F.lit(None)
     carried = F.struct(*[right[c].alias(c) for c in take])
-    lhs = left.select(F.col(by).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"))
+    lhs = left.where(F.col(by).isNotNull()).select(F.col(by).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"))
     rhs = right.where(F.col(by).isNotNull()).select(F.col(by).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_side"), carried.alias("_seen"))
     both = lhs.withColumn("_seen", none.cast(rhs.schema["_seen"].dataType)).unionByName(rhs.withColumn("_row", none.cast(lhs.schema["_row"].dataType)))
     w = W.partitionBy("_k").orderBy("_t", "_side", "_seen").rowsBetween(W.unboundedPreceding, 0)
     out = both.withColumn("_seen", F.last("_seen", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select(*[F.col(f"_row.{c}").alias(c) for c in names], *[F.when(F.col("_k").isNotNull(), F.col(f"_seen.{c}")).alias(f"asof_{c}") for c in take])
+    found = out.select(*[F.col(f"_row.{c}").alias(c) for c in names], *[F.col(f"_seen.{c}").alias(f"asof_{c}") for c in take])
+    alone = left.where(F.col(by).isNull()).select(*names, *[none.cast(right.schema[c].dataType).alias(f"asof_{c}") for c in take])
+    return found.unionByName(alone)
 
 
 def band_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.money import charged, discounted
 from tidemill.operators.joins import asof_backward, band_join
+from tidemill.operators.quantiles import exact_quantile
 from tidemill.operators.ranking import top_k_by
 from tidemill.sources.tables import table
 from tidemill.streaming.windows import tumbling
@@ -107,8 +108,8 @@ def parts_in_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = tumbling(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 hour", "event_type")
-    return w.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    w = tumbling(table(spark, sf_dir, "events"), "ts", "1 day", "1 hour", "event_type")
+    return w.select(F.col("w.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""
@@ -126,7 +127,9 @@ SELECT event_type, count(*) AS n, round(avg(CAST(json_extract_string(props, '$.k
 FROM events GROUP BY event_type""")
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(k), 6).alias("mean_k"), F.percentile("value", 0.5).alias("mid"))
+    e = table(spark, sf_dir, "events")
+    means = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(k), 6).alias("mean_k"))
+    return means.join(exact_quantile(e, "event_type", "value", 0.5, "mid"), "event_type")
 
 
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
