@@ -3,10 +3,12 @@
 Hierarchical residual packing. Each task packs its pieces best-fit, longest
 first, and passes on only the bins that are not nearly full. Those bins are
 items of the next round, in fewer tasks, where bins of different tasks meet;
-and so on up the tree. A round's tasks get at most ``target`` bins each, so the
-last ones stay small however large the input; rounds end when one task has seen
-all that is left or when merging hardly helps any more. A bin holds at most
-``capacity`` pieces, as each has a token.
+and so on up the tree. A round's tasks get about ``target`` bins each, dealt in turn,
+so the last ones stay small however large the input. After a round, bins with less
+room than the least filled bin left are done as well, since nothing can join them. Rounds
+end when one task has seen all that is left, or when ``STALE`` rounds in a row,
+each with other bins together, have merged less than a tenth. A bin holds at
+most ``capacity`` pieces, as each has a token.
 
 A document that fits is one piece. A longer one is cut from its end into full
 pieces, so that only the first can be shorter. Null texts are empty and still
@@ -31,6 +33,7 @@ CAPACITY = 1024
 END = 2
 NEARLY_FULL = 0.99
 TARGET = 16_000
+STALE = 3
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BIN = pa.schema([("fill", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(_PIECE))])
@@ -109,15 +112,21 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     alone = parts.where(F.col("length") == capacity).select(F.array(item).alias("members"))
     left = parts.where(F.col("length") < capacity).select(F.col("length").alias("fill"), F.lit(False).alias("done"), F.array(item).alias("members"))
-    finished, n, before = [alone], left.count(), 0
+    finished, n, stale = [alone], left.count(), 0
     while n:
         tasks = -(-n // target)
-        last = tasks == 1 or 0 < before and n > 0.9 * before
-        spread = left.repartition(tasks, F.xxhash64(F.expr("members[0].doc_id"), F.expr("members[0].ids_crc32"), F.lit(before)))
-        done = keep(_round(spread, capacity, nearly_full, last), "bins")
+        last = tasks == 1 or stale == STALE
+        done = keep(_round(left.repartition(tasks), capacity, nearly_full, last), "bins")
         finished.append(done.where("done").select("members"))
         left = done.where("NOT done")
-        before, n = n, 0 if last else left.count()
+        least = left.agg(F.min("fill")).first()[0]
+        if least is None:
+            break
+        closed = F.col("fill") + least > capacity
+        finished.append(left.where(closed).select("members"))
+        left = left.where(~closed)
+        before, n = n, left.count()
+        stale = stale + 1 if n > 0.9 * before else 0
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
