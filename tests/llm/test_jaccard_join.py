@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tidemill.llm import jaccard_join as j
 from tidemill.llm.components import components
@@ -43,8 +44,8 @@ def test_shingles_equal_brute_force():
 def test_prefixes_share_enough_matches():
     rng = random.Random(7)
     tokens = np.sort(np.array(rng.sample(range(4000), 200), dtype=np.uint64))
-    counts = np.array([rng.randrange(64, 9999) for _ in tokens])
-    seen = 0
+    counts = np.array([rng.randrange(4, 99) for _ in tokens])
+    seen = hot = 0
     for _ in range(3000):
         a = np.array(sorted(rng.sample(range(4000), rng.randrange(1, 60))), dtype=np.uint64)
         if rng.random() < 0.5:
@@ -52,10 +53,43 @@ def test_prefixes_share_enough_matches():
         b = np.array([x for x in a if rng.random() < 0.93], dtype=np.uint64)
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-            (p, k), (q, m) = j.prefix(a, tokens, counts), j.prefix(b, tokens, counts)
-            assert len(np.intersect1d(p, q)) >= min(k, m)
+            p, q = j.prefix(a, tokens, counts), j.prefix(b, tokens, counts)
+            x, y = list(p.tokens), list(q.tokens)
+            shared = [t for t in x if t in y]
+            assert len(shared) >= min(p.k, q.k)
+            assert all(x.index(t) < p.front or y.index(t) < q.front for t in shared[: min(p.k, q.k)])
+            counted = sum(x.index(t) < p.cold for t in shared)
+            assert both <= counted + max(len(a) - p.cold, len(b) - q.cold)
             seen += 1
-    assert seen > 500
+            hot += p.cold < len(x)
+    assert seen > 500 and hot > 100
+
+
+def test_templates_give_no_pairs(spark):
+    """Texts of one template, 84 of 100 words, don't link; copies of some do. No pair of the template's lists is built."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    template = [word() for _ in range(84)]
+    rows = [(i, " ".join([*template, *(word() for _ in range(16))])) for i in range(10_000)]
+    rows += [(20_000 + i, f"{t} {word()}") for i, t in rows[:50]]
+    got = {r.doc_id: r.component_id for r in j.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 20_000 if i >= 20_000 else i for i, _ in rows}
+
+
+def test_one_id_with_two_texts_and_a_carried_column(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "y"), (2, "A b c d e f", "z"), (3, "g h i j k l", None)]
+    got = {(r.doc_id, r.mark): r for r in j.join(spark.createDataFrame(rows, "doc_id long, text string, mark string"), carry=("mark",)).collect()}
+    assert got[1, "x"].component == got[2, "z"].component != got[1, "y"].component == got[3, None].component
+    assert {r.component_id for r in got.values()} == {1}
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    whole = j.class_id
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "g h i j k l")]
+    entries = spark.createDataFrame([(i, 7, whole(j.shingles(t), 2), 2, 2, 2) for i, t in rows], "doc_id long, cid long, check long, n long, k long, cold long")
+    named, classes = j._grouped(entries)
+    got = {r.doc_id: r.cid for r in named.collect()}
+    assert got[1] == got[2] != got[3] and {(r.cid, r.rep) for r in classes.collect()} == {(got[1], 1), (got[3], 3)}
 
 
 def made(seed, n=120):
@@ -76,11 +110,11 @@ def made(seed, n=120):
     return rows
 
 
-def test_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(j, "OFTEN", 4)
-    rows = [*made(8), (5000, None), (5001, ""), (5002, " \t"), (5003, "one two"), (5004, "ONE  two"), (5005, "long " * 30_000), (5006, "long " * 5)]
+@pytest.mark.parametrize("hot", [2, 5, 32])
+def test_join_equals_brute_force(spark, hot):
+    rows = [*made(8 + hot), (5000, None), (5001, ""), (5002, " \t"), (5003, "one two"), (5004, "ONE  two"), (5005, "long " * 30_000), (5006, "long " * 5)]
     df = spark.createDataFrame([*rows, (None, "one two"), (5003, "one two")], "doc_id long, text string").selectExpr("*", "1 AS token", "2 AS cid")
-    got = j.join(df).collect()
+    got = j.join(df, hot=hot).collect()
     want = brute(rows)
     assert len(got) == len(rows) + 2
     for r in got:

@@ -6,40 +6,53 @@ form a class and are handled once, so copies are never paired.
 
 *Prefixes.* One order of all shingles holds for every document: by hash, and
 after those the frequent shingles by frequency. Similar sets of ``n`` shingles
-share at least ``need = ceil(0.8 n)``, so they share ``k`` or more among
-their first ``n - need + k``. Each document takes its own ``k``: the more
-candidates it can expect for each shingle of its plain prefix, by the
-frequencies of frequent ones, the longer its prefix and the more matches it asks
-for, up to half of ``need``. A pair must share the smaller ``k`` of the two, and
-what it shares must reach the overlap it needs even if all that lies behind the
-prefixes were shared; both are certain for a linked pair, so nothing is lost.
-Which shingles count as frequent only moves cost: the table of them has at most
-``FREQUENT`` rows.
+share at least ``need = ceil(0.8 n)``, so they share ``k`` or more among their
+first ``n - need + k``. Each document takes its own ``k``: it estimates, from the
+frequencies, what candidates a longer prefix costs and how many of them the
+further matches rule out before verification, and takes the cheapest. A pair must share
+the smaller ``k`` of the two.
+
+*Front and back.* If the ``j``-th shingle that two sets share stands at places ``p``
+and ``q`` in them, they share at most ``j - 1 + min(n - p, m - q)``. A linked pair
+needs four ninths of ``n + m``, so each of its first ``k`` common shingles is, in one set at
+least, among the first ``n - ceil(8 n / 9) + k``. That much of a prefix is its front, and
+so are all its shingles that aren't hot. Lists of documents by shingle are paired front
+with front and front with back, never back with back. A long list of texts built on one
+template, each with enough text of its own not to link, holds the template's
+shingles in their backs alone and gives no pair at all; and of the other documents in
+a hot shingle's list those go that are too large or too small for all its fronts.
+Shingles that aren't hot are always counted, so what a pair shares must reach the
+overlap it needs even if it shared all its others. All of this is certain for
+linked pairs, so nothing is lost. Which shingles count as frequent or hot only
+moves cost: the table of them has at most ``FREQUENT`` rows.
 
 *Links.* Each class is first compared with one hub: of the classes that share one
 of its least shingle hashes, one met most often and of the most usual shingles.
 That joins large groups of near copies by a number of pairs linear in their size.
-What a class has in common with its hub also bounds its overlap with others of the
-same hub, which rules out most pairs of copies that are too far from each other.
 Then every other pair that shares prefix shingles and is not yet in one
 component is counted, and those with enough matches are compared on whole
 sets. All links left out are between classes that already reach each other, so
 components are exact.
 
+Classes are named by a 64-bit hash of their set. A second one tells apart sets that
+share the first, should that ever happen, so classes rest on 128 bits.
+
 Null and empty texts have no shingle and link with nothing. Texts of fewer than
 five words have their whole sequence as one shingle. Rows without an id get
-no component. Repeated rows are copies. Other columns are ignored.
+no component. Repeated rows are copies. Other columns are ignored, but for those
+asked for by ``carry``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.common import forget, keep
 from tidemill.llm.components import components
@@ -48,9 +61,13 @@ WIDTH = 5
 PERCENT = 80
 FREQUENT = 500_000
 OFTEN = 4
+#: A shingle of at least so many documents is hot. Cost of comparing a pair's whole sets, in pairs of a list.
+HOT = 32
+VERIFY = 32
 HELD = 4_000_000
 FIRST = 6
-BLOOM_BITS = 1 << 25
+#: The filter of ids has 16 bits for each, within these bounds.
+BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 28
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,40 +108,47 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def class_id(s: np.ndarray) -> int:
+def class_id(s: np.ndarray, seed: int = 1) -> int:
     """A hash of a set of shingles."""
     with np.errstate(over="ignore"):
-        return int(mixed(np.array([mixed(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
+        return int(mixed(np.array([mixed(s + np.uint64(seed)).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the number of matches it asks for. ``tokens``: the frequent shingles, sorted."""
+@dataclass
+class Prefix:
+    """A set's first shingles in the common order, how many of them are its front and how many aren't hot, the matches it asks for, and the mean frequency of all its shingles."""
+
+    tokens: np.ndarray
+    front: int
+    cold: int
+    k: int
+    usual: float
+
+
+def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, hot: int = HOT) -> Prefix:
+    """``tokens``: the frequent shingles, sorted, with their ``counts``."""
     n, need = len(s), needed(len(s), percent)
-    cost = 0
+    both = -(-2 * percent * n // (100 + percent))
+    freq = np.zeros(n, dtype=np.int64)
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-        often = tokens[at] == s
-        if often.any():
-            hot, freq = s[often], counts[at[often]]
-            rank = np.argsort(freq, kind="stable")
-            cold = n - len(hot)
-            s = np.concatenate([s[~often], hot[rank]])
-            cost = int(freq[rank][: max(0, n - need + 1 - cold)].sum())
-    expected = cost / (n - need + 1)
-    k = min(need, 2 + int(need * min(0.5, 0.1 * math.log2(1 + expected))))
-    return s[: n - need + k], k
-
-
-def _commonness(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> float:
-    """Mean frequency of a set's shingles: highest, in a group of near copies, for the text that the others come from."""
-    if not len(s) or not len(tokens):
-        return 0.0
-    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-    return float(counts[at][tokens[at] == s].sum() / len(s))
+        freq = np.where(tokens[at] == s, counts[at], 0)
+        if freq.any():
+            order = np.argsort(freq, kind="stable")
+            s, freq = s[order], freq[order]
+    cold = int(np.searchsorted(freq, hot))
+    front = lambda k: max(n - both + k, min(n - need + k, cold))
+    k = min(2, need)
+    if freq[:front(k)].any():
+        # Documents met in the lists of the front, and what is left to compare of them when k must be shared.
+        met = np.cumsum(freq)
+        tried = sorted({min(need, both, int(x)) for x in (2, 3, 4, 6, 8, 12, 16, 24, 32, *(need * f / 8 for f in range(1, 5)))} - {0})
+        k = min(tried, key=lambda k: (int(met[min(front(k), n) - 1]) * (1 + VERIFY / k), k))
+    return Prefix(s[: n - need + k], front(k), min(cold, n - need + k), k, float(freq.sum() / n) if n else 0.0)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -168,23 +192,22 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A fixed-size filter of ids, put together on the executors; it saves work and decides nothing."""
-    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "rep"), F.lit(BLOOM_BITS)) for k in range(2)])).alias("bit"))
+def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of ids and its bits, put together on the executors; it saves work and decides nothing."""
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * ids.count()).bit_length()))
+    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "rep"), F.lit(size)) for k in range(2)])).alias("bit"))
     words = bits.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("v")).toArrow()
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     out[words.column("word").to_numpy()] = words.column("v").to_numpy()
-    return out
+    return out, size
 
 
-def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rest: bool = False) -> DataFrame:
-    """Pairs ``x, y`` of classes with the sizes of their whole sets and of what both hold; ``rest``: what only ``x`` holds, where half is common."""
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``pairs`` ``x, y`` of classes, each once, that link by their whole sets."""
     pairs = keep(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct().join(classes, "cid").select("cid", "rep")
-    ids = keep(ids, "needed")
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
-
-    here = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(BLOOM_BITS)) for k in range(2)]
+    ids = keep(pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct().join(classes, "cid").select("cid", "rep"), "needed")
+    bloom, size = _bloom(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -198,90 +221,131 @@ def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rest: bool
                 cid = pa.array([class_id(s) for s in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([cid, part.column(0), _lists(found)], ["cid", "rep", "s"])
 
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[h.alias(f"h{k}") for k, h in enumerate(here)]).mapInArrow(passes, "cid long, rep long, s array<long>")
-    sets = keep(sets.join(ids, ["cid", "rep"], "left_semi").select("cid", "s"), "sets")
+    here = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(size)).alias(f"h{k}") for k in range(2)]
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *here).mapInArrow(passes, "cid long, rep long, s array<long>")
+    # A row for each class: repeated rows have the same id and set.
+    sets = keep(sets.join(ids, ["cid", "rep"], "left_semi").groupBy("cid", "rep").agg(F.first("s").alias("s")).select("cid", "s"), "sets")
     x, y = (sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
-    sized = pairs.join(x, "x").join(y, "y").select("*", F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("both"))
-    only = F.when(F.col("both") * 3 >= F.col("nx") + F.col("ny"), F.array_except("sx", "sy")).alias("rest")
-    out = keep(sized.select("x", "y", "nx", "ny", "both", *[only] * rest).distinct(), "compared")
+    # Nothing stands above these joins that needs a hub's rows together, so adaptive execution may split them.
+    both, total = F.size(F.array_intersect("sx", "sy")), F.size("sx") + F.size("sy")
+    found = pairs.join(x, "x").join(y, "y").where(both * (100 + percent) >= total * percent).select("x", "y")
+    found = keep(found, "links")
     forget(sets, ids, pairs)
-    return out
+    shared.destroy()
+    return found
 
 
-def _linked(compared: DataFrame, percent: int) -> DataFrame:
-    link = F.col("both") * 100 >= (F.col("nx") + F.col("ny") - F.col("both")) * percent
-    return compared.where(link).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
+def _grouped(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``entries`` with a name for each class, and the classes; sets with one hash but not the other in common are told apart."""
+    usable = entries.where("cid IS NOT NULL AND doc_id IS NOT NULL")
+    same = [F.first(c).alias(c) for c in ("n", "k", "cold")]
+    classes = keep(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), *same, F.min("check").alias("a"), F.max("check").alias("b")), "classes")
+    if not classes.where("a <> b").limit(1).count():
+        return entries, classes
+    clash = classes.where("a <> b").select("cid", F.lit(True).alias("again"))
+    renamed = F.when(F.col("again"), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
+    return _grouped(entries.join(clash, "cid", "left").withColumn("cid", renamed).drop("again"))
 
-def _bounds(compared: DataFrame, classes: DataFrame) -> DataFrame:
-    """``cid, hub, common, own``: what bounds the overlap of two classes of one hub.
 
-    They share at most the lesser of what each has in ``common`` with the hub, and
-    besides that only shingles outside of it that another class has outside of
-    its hub as well; ``own`` lists a class's shingles of that kind.
-    """
-    tested = compared.where("rest IS NOT NULL")
-    outside = tested.select("x", F.explode("rest").alias("token"))
-    several = outside.groupBy("token").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("token")
-    own = outside.join(several, "token", "left_semi").groupBy("x").agg(F.collect_list("token").alias("own"))
-    hubs = tested.select(F.col("y").alias("hub")).distinct()
-    none = F.array().cast("array<long>")
-    others = tested.join(hubs, F.col("x") == F.col("hub"), "left_anti").join(own, "x", "left")
-    others = others.select(F.col("x").alias("cid"), F.col("y").alias("hub"), F.col("both").cast("long").alias("common"), F.coalesce("own", none).alias("own"))
-    themselves = hubs.join(classes, F.col("hub") == F.col("cid")).select("cid", "hub", F.col("n").alias("common"), none.alias("own"))
-    return keep(others.unionByName(themselves), "bounds")
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` of each row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, carry: list[str], percent: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's class; the classes with their least ids; and the prefix of each class, from a row that has that id."""
     tokens, counts = _frequent(docs)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, counts))
+    own = ["cid", "check", "n", "k", "front", "cold", "usual", "first", "tokens"]
 
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches):
-            found = [prefix(s, *shared.value, percent) if len(s) else (s, 0) for s in sets]
-            usual = [_commonness(s, *shared.value) for s in sets]
+            found = [prefix(s, *shared.value, percent, hot) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
-                pa.array([k for _, k in found], pa.int64()), pa.array(usual, pa.float64()), _lists([s[:FIRST] for s in sets]), _lists([p for p, _ in found]),
-            ], ["doc_id", "cid", "n", "k", "usual", "first", "tokens"])
-
-    entries = keep(docs.mapInArrow(entry, "doc_id long, cid long, n long, k long, usual double, first array<long>, tokens array<long>"), "entries")
+                part.column(0), *part.columns[2:], *(pa.array([class_id(s, seed) if len(s) else None for s in sets], pa.int64()) for seed in (1, 2)), pa.array(list(map(len, sets)), pa.int64()),
+                pa.array([p.k for p in found], pa.int64()), pa.array([p.front for p in found], pa.int64()), pa.array([p.cold for p in found], pa.int64()), pa.array([p.usual for p in found], pa.float64()), _lists([s[:FIRST] for s in sets]), _lists([p.tokens for p in found]),
+            ], ["doc_id", *carry, *own])
+
+    schema = docs.drop("text").schema
+    for c in own:
+        schema = schema.add(c, T.DoubleType() if c == "usual" else T.ArrayType(T.LongType()) if c in ("first", "tokens") else T.LongType())
+    whole = keep(docs.mapInArrow(entry, schema), "entries")
+    entries, classes = _grouped(whole)
     usable = entries.where("cid IS NOT NULL AND doc_id IS NOT NULL")
-    classes = keep(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k")), "classes")
-    near = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    one = keep(usable.join(classes.select("cid", F.col("rep").alias("doc_id")), ["cid", "doc_id"], "left_semi").select("cid", "n", "front", "usual", "first", "tokens"), "prefixes")
+    rows = keep(entries.select("doc_id", *carry, "cid", "n"), "rows")
+    forget(whole)
+    shared.destroy()
+    return rows, classes, one
 
-    first = keep(usable.select(F.explode("first").alias("token"), "cid", "n", "usual").distinct(), "first")
+
+def _near(a: str, b: str, percent: int) -> Column:
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+
+def _hub_pairs(one: DataFrame, percent: int) -> DataFrame:
+    """Each class with its hub."""
+    first = keep(one.select(F.explode("first").alias("token"), "cid", "n", "usual").distinct(), "first")
     hubs = first.groupBy("token").agg(F.max(F.struct("usual", "cid", "n")).alias("h"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b")
     hubs = hubs.select("token", F.col("h.usual").alias("hub_usual"), F.col("h.cid").alias("hub"), F.col("h.n").alias("hub_n"))
-    met = first.join(hubs, "token").where((F.col("cid") != F.col("hub")) & near("n", "hub_n")).groupBy("cid", "hub").agg(F.struct(F.count("*").alias("m"), F.max("hub_usual"), "hub").alias("b"))
-    tested = _compared(docs, classes, met.groupBy("cid").agg(F.max("b").alias("b")).select(F.col("cid").alias("x"), F.col("b.hub").alias("y")), rest=True)
-    links, bounds = keep(_linked(tested, percent), "links"), _bounds(tested, classes)
-    known = components(links)
+    met = first.join(hubs, "token").where((F.col("cid") != F.col("hub")) & _near("n", "hub_n", percent)).groupBy("cid", "hub").agg(F.struct(F.count("*").alias("m"), F.max("hub_usual"), "hub").alias("b"))
+    pairs = keep(met.groupBy("cid").agg(F.max("b").alias("b")).select(F.col("cid").alias("x"), F.col("b.hub").alias("y")), "hubs")
+    forget(first)
+    return pairs
 
-    posted = usable.select(F.explode("tokens").alias("token"), "cid").repartition("token")
-    several = posted.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("token")
-    found = keep(posted.join(several, "token", "left_semi").distinct(), "posted")
-    posted = found.join(classes.select("cid", "n", "k"), "cid").join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    posted = keep(posted, "posted")
-    forget(first, found, tested)
-    open_lists = posted.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    rest = keep(posted.join(open_lists, "token", "left_semi").join(bounds, "cid", "left"), "posted")
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "comp", "n", "k", "hub", "common", "own")]) for side in "xy")
-    most = F.least("common_x", "common_y") + F.size(F.array_intersect("own_x", "own_y"))
-    apart = (F.col("hub_x") == F.col("hub_y")) & (most * (100 + percent) < (F.col("n_x") + F.col("n_y")) * percent)
-    pairs = x.join(y, "token").where((F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y")) & near("n_x", "n_y") & ~F.coalesce(apart, F.lit(False)))
-    need = lambda n: F.ceil(F.col(n) * percent / 100)
-    behind = F.greatest(need("n_x") - F.col("k_x"), need("n_y") - F.col("k_y"))
-    least = F.greatest(F.least("k_x", "k_y"), F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent)) - behind)
-    pairs = pairs.groupBy("cid_x", "cid_y").agg(F.count("*").alias("m"), F.first(least).alias("least")).where("m >= least")
-    more = _linked(_compared(docs, classes, pairs.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y"))), percent)
-
-    comp = components(links.unionByName(more)).withColumnRenamed("node", "cid")
-    comp = classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+def _candidates(posted: DataFrame, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components in ``known`` that share enough of their prefixes.
+
+    ``posted``: ``token, cid, at``, the place of a shingle in its class's prefix; places
+    behind the front are negative, less one.
+    """
+    at = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
+    each = posted.join(classes.select("cid", "n", "k", "cold"), "cid").join(known, F.col("cid") == F.col("node"), "left")
+    # The overlap that is still possible if this is one of the first k matches, and the largest partner that allows.
+    most = F.least(F.col("n"), F.col("n") - at + F.col("k") - 1)
+    each = each.select("token", "cid", "n", "k", "cold", (F.col("at") >= 0).alias("ahead"), (at >= F.col("cold")).alias("hot"), F.coalesce("comp", "cid").alias("comp"), most.alias("most"))
+    each = keep(each.withColumn("reach", F.expr(f"most * {100 + percent} div {percent} - n")), "posted")
+    ahead = F.when(F.col("ahead"), F.col("n"))
+    lists = each.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(ahead).alias("least_ahead"), F.min("n").alias("least_n"), F.max("reach").alias("most_reach"))
+    lists = lists.where("a < b AND least_ahead IS NOT NULL").drop("a", "b")
+    # A back needs a front that isn't too large for it; a front needs any partner.
+    fits = F.when(F.col("ahead"), (F.col("reach") >= F.col("least_n")) & (F.col("n") <= F.col("most_reach"))).otherwise(F.col("reach") >= F.col("least_ahead"))
+    sides = ("cid", "comp", "n", "k", "cold", "hot", "ahead", "most")
+    rest = keep(each.join(lists, "token").where(~F.col("hot") | fits).select("token", *sides), "lists")
+    forget(each)
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in sides]) for side in "xy")
+    total = F.col("n_x") + F.col("n_y")
+    fit = ~F.col("hot_x") | (F.least("most_x", "most_y") * (100 + percent) >= total * percent)
+    # Of two fronts the pair is named once; of a front and a back the front is x.
+    once = ~F.col("ahead_y") | (F.col("cid_x") < F.col("cid_y"))
+    pairs = x.where("ahead_x").join(y, "token").where(once & (F.col("comp_x") != F.col("comp_y")) & _near("n_x", "n_y", percent) & fit)
+    behind = F.greatest(F.col("n_x") - F.col("cold_x"), F.col("n_y") - F.col("cold_y"))
+    least = F.greatest(F.least("k_x", "k_y"), F.ceil(total * percent / (100 + percent)) - behind)
+    pairs = pairs.select(F.least("cid_x", "cid_y").alias("x"), F.greatest("cid_x", "cid_y").alias("y"), least.alias("least"))
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("m"), F.first("least").alias("least"))
+    found = keep(pairs.where("m >= least").select("x", "y"), "candidates")
+    forget(rest)
+    return found
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id`` of each row, what ``carry`` names, and ``component``, a key that differs between components even if ids repeat."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    rows, classes, one = _classes(docs, list(carry), percent, hot)
+    places = one.select(F.posexplode("tokens").alias("at", "token"), "cid", "front").select("token", "cid", F.when(F.col("at") < F.col("front"), F.col("at")).otherwise(-1 - F.col("at")).alias("at")).repartition("token")
+    several = places.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.max("at").alias("at")).where("a < b AND at >= 0").select("token")
+    posted = keep(places.join(several, "token", "left_semi").distinct(), "places")
+    hubs = _hub_pairs(one, percent)
+    forget(one)
+    links = _linked(docs.select("doc_id", "text"), classes, hubs, percent)
+    forget(hubs)
+    known = components(links)
+    candidates = _candidates(posted, classes, known.select("node", "comp"), percent)
+    forget(posted, known)
+    more = _linked(docs.select("doc_id", "text"), classes, candidates, percent)
+    forget(candidates)
+
+    comp = components(links.unionByName(more))
+    forget(links, more)
+    comp = classes.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = comp.join(least, "comp").select("cid", F.col("rep").alias("class_id"), "component_id")
-    out = entries.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")
+    named = comp.join(least, "comp").select("cid", F.col("rep").alias("class_id"), "component_id", "comp")
+    out = rows.withColumnRenamed("n", "n_shingles").join(named, "cid", "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
-    return out.select("doc_id", "n_shingles", own("class_id"), own("component_id"))
+    return out.select("doc_id", *carry, "n_shingles", own("class_id"), own("component_id"), F.col("comp").alias("component"))
