@@ -62,7 +62,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.length_histogram(documents(spark, sf_dir)))
+    return token_counts.suffix_sums(keep(token_counts.length_histogram(documents(spark, sf_dir)), "histogram"))
 
 
 @query
