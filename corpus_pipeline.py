@@ -4,23 +4,29 @@ Each stage takes what its predecessor kept. The first four return the columns
 of ``documents``; the last returns the packed pieces.
 
 * ``language_id`` drops documents without a language or with an unsure one.
-* ``jaccard_join`` keeps, of each component of near copies, the document with
-  the least id; of repeated rows of it, one. Documents without shingles stay.
+* ``jaccard_join`` keeps, of each component of near copies, one row of the document
+  with the least id. Different texts under one id are different documents. A
+  document without an id counts as one with an id above all others, made from
+  its text. Documents without shingles stay.
 * ``decontamination`` drops documents that hold a benchmark item.
 * ``secret_scans`` replaces each secret by a mark and counts ``n_chars`` anew.
 * ``best_fit_packing`` packs what is left.
+
+Columns that a stage adds for its work get names that ``documents`` doesn't have.
+A stage's scratch tables go when the next stage starts, since its result has
+been written by then; so write a stage's result before calling another stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, jaccard_join, language, packing, secrets
-from tidemill.llm.common import keep
+from tidemill.llm.common import forget, fresh, keep, release, tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,41 +34,75 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+#: Scratch tables of the stage that ran last.
+_left: set[str] = set()
+
+
+def staged(stage: Stage) -> Stage:
+    """``stage``, which first deletes what the stage before has left."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left, but=docs)
+        before = tables()
+        out = stage(spark, docs, sf_dir)
+        _left.clear()
+        _left.update(tables() - before)
+        return out
+
+    return run_stage
+
+
+@staged
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.train(docs)
-    found = language.predict(docs, model, pred="_pred", score="_score")
-    return found.where(language.accepted(F.col("_pred"), F.col("_score"))).select(*docs.columns)
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = language.predict(docs, language.train(docs), pred=pred, score=score)
+    return found.where(language.accepted(F.col(pred), F.col(score))).select(*docs.columns)
 
 
+@staged
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = keep(jaccard_join.join(docs), "joined")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # Of rows that repeat an id, one stays; ids that occur once, nearly all, need no comparing.
-    twice = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"))
+    text_hash = F.xxhash64("text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(text_hash, F.lit(1 << 61))).alias("id"), text_hash.alias("h"), F.length("text").alias("size"), "text")
+    found = keep(jaccard_join.join(rows, id_col="id", carry=("h", "size")).where("n_shingles > 0"), "joined")
+    key = ["id", "h", "size"]
+    each = found.select(F.col("doc_id").alias("id"), "h", "size", "component", "component_id")
+    # Of the texts with their component's least id, one stays; there is nearly always one alone.
+    least = each.where("id = component_id").groupBy("component").agg(F.min(F.struct("h", "size")).alias("stays"), F.max(F.struct("h", "size")).alias("other")).where("stays <> other")
+    also = each.where("id = component_id").join(least, "component").where(F.struct("h", "size") != F.col("stays"))
+    gone = keep(each.where("id <> component_id").select(*key).unionByName(also.select(*key)).distinct(), "gone")
+    twice = keep(each.where("id = component_id").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "twice")
+
+    names = {c: fresh(docs, c) for c in key}
+    keyed = docs.withColumns({names[c]: e for c, e in zip(key, (F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(text_hash, F.lit(1 << 61))), text_hash, F.length("text")), strict=True)})
+    left = keyed.join(gone.withColumnsRenamed(names), list(names.values()), "left_anti")
     if not twice.limit(1).count():
-        return left
-    again = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
-    once = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    first = W.partitionBy("doc_id").orderBy(*docs.columns)
-    return once.unionByName(again.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k"))
+        return left.select(*docs.columns)
+    twice = twice.withColumnsRenamed(names)
+    again, once = (left.join(twice, list(names.values()), how) for how in ("left_semi", "left_anti"))
+    return once.unionByName(again.dropDuplicates(list(names.values()))).select(*docs.columns)
 
 
+@staged
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    name = fresh(docs, "leaks")
+    found = decontamination.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name=name)
+    return found.where(F.size(name) == 0).select(*docs.columns)
 
 
+@staged
 def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs, secrets.train(docs)).withColumn("_spans", secrets.ordered("base_spans", "random_spans"))
-    text = F.when(F.size("_spans") > 0, secrets.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
+    base, random = fresh(docs, "base_spans"), fresh(docs, "random_spans")
+    found = secrets.scan(docs, secrets.train(docs), base=base, random=random)
+    some = F.size(base) + F.size(random) > 0
+    text = F.when(some, secrets.redacted(F.col("text"), secrets.ordered(base, random))).otherwise(F.col("text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, size).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        new["n_chars"] = F.when(some, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(new).select(*docs.columns)
 
 
+@staged
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs))
 
@@ -78,6 +118,10 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
