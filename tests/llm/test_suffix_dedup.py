@@ -61,12 +61,13 @@ def test_loser_tree_merges_and_keeps_shared_prefixes():
     assert list(d.merge([])) == []
 
 
-@pytest.mark.parametrize("per_range", [7, 100_000])
-def test_dedup_equals_brute_force(spark, per_range):
+@pytest.mark.parametrize(("per_range", "fan"), [(7, 4), (7, 512), (100_000, 512)])
+def test_dedup_equals_brute_force(spark, per_range, fan):
+    """With ranges in one level or in several, with hot grams of several ranges, and in one range."""
     for seed, width, gram in ((3, 60, 16), (4, 200, 64)):
         texts = made(seed, width)
         df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 AS did", "2 AS spans").repartition(5)
-        got = sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in d.dedup(df, width=width, gram=gram, per_range=per_range).collect()), key=repr)
+        got = sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in d.dedup(df, width=width, gram=gram, per_range=per_range, fan=fan).collect()), key=repr)
         want = sorted(((i if i % 9 else None, *b) for i, b in enumerate(brute(texts, width))), key=repr)
         assert got == want
         assert sum(w[3] for w in want) > 2000

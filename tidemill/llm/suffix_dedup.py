@@ -7,22 +7,28 @@ in any document, is removed.
 leftmost of its ``GRAM``-byte strings with the least hash. Equal windows have
 the same anchor at the same place, so it is enough to sort the suffixes that
 begin at anchors, with the bytes before them that their windows reach; and only
-those whose first ``GRAM`` bytes occur at two anchors or more. A fixed-size
-filter holds the hashes of these; what it lets through besides costs exchange
-and decides nothing.
-
-*Sorting.* Each task sorts its suffixes and cuts the run at splitters taken
-from a sample. The parts are front-coded (each suffix as the length of the
-prefix shared with the one before it, and the rest) and sent to the task of
-their range. A suffix ends in a tie-break, so equal suffixes are dealt evenly,
-however many there are. There a loser tree merges the runs. A suffix in the
-tree carries the length of the prefix shared with the last winner: the longer
-one wins unseen, and only equal lengths are compared, from there on.
+those whose first ``GRAM`` bytes occur at two anchors or more. A filter holds the hashes of
+these, 16 bits for each up to ``BLOOM_MOST``; what it lets through besides costs
+exchange and decides nothing.
+
+*Order.* Suffixes are ordered by the hash of their first ``GRAM`` bytes, then by
+content, then by a tie-break. All that matters stands together as in an order by content
+alone, and equal ranges of the hash hold about equally many suffixes, so ranges need no sample and
+their number just grows with the input. A gram with more than ``per_range``
+suffixes has ranges of its own, to which the tie-break deals them; there are at most as
+many such grams as ranges, and a row for each is all that goes to the driver.
+
+*Sorting.* Each task sorts its suffixes into runs and cuts them at the ranges. The
+parts are front-coded (each suffix as the length of the prefix shared with the one
+before it, and the rest) and sent to the task of their range. A run is cut into ``FAN`` parts
+at most: where there are more ranges, parts go to wider ranges first, are
+merged to longer runs there and cut again. At the end a loser tree merges the
+runs of a range. A suffix in the tree carries the length of the prefix shared with the last
+winner: the longer one wins unseen, and only equal lengths are compared, from there on.
 
 *Matches.* Suffixes with a common gram are neighbours in the merged order. Their
-windows are compared, by content or, where many differ, by a 128-bit hash. A
-gram's neighbours that reach the border of a range may go on in the next: of
-these few grams each range names its distinct windows, by hash, and those that
+windows are compared, by content or, where many differ, by a 128-bit hash. Of a gram
+with several ranges each range names its distinct windows, by hash, and those that
 two ranges name repeat.
 
 Null texts are empty. Texts shorter than a window lose nothing. Repeated rows
@@ -32,9 +38,7 @@ repeat each other's strings, so they lose all windows. Other columns are ignored
 from __future__ import annotations
 
 import struct
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +46,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import keep
+from tidemill.llm.common import forget, keep
 
 WIDTH = 200
 GRAM = 64
-SAMPLE = 20_000
 RUN = 50_000
 RANGE = 20_000
-BLOOM_BITS = 1 << 27
+FAN = 1 << 9
+BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 29
 
 _BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _CHUNK = 1 << 22
@@ -236,85 +240,113 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _suffixes(data: bytes, did: int, rid: int, bits: np.ndarray, width: int, gram: int) -> Iterator[tuple[bytes, tuple]]:
+    """The suffixes of a text that may repeat, as sort keys: hash of the gram, content, tie-break."""
     place, h, first, last = anchors(data, width, gram)
     hit = np.ones(len(h), dtype=bool)
-    for bit in _bits(h):
+    for bit in _bits(h, len(bits) * 64):
         hit &= (bits[(bit // np.uint64(64)).astype(np.int64)] >> (bit % np.uint64(64))) & np.uint64(1) == 1
-    for p, a, b in zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+    order = _mixed(h[hit] + np.uint64(3)).astype(">u8").tobytes()
+    for i, (p, a, b) in enumerate(zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True)):
         tie = struct.pack(">Q", xxhash.xxh64_intdigest(struct.pack("<qqq", did, rid, p)))
-        yield data[p : min(p + width, b + width)] + tie, (data[a:p], p - b, did, rid, p)
+        yield order[8 * i : 8 * i + 8] + data[p : min(p + width, b + width)] + tie, (data[a:p], p - b, did, rid, p)
 
 
-def _bits(h: np.ndarray) -> list[np.ndarray]:
-    return [_mixed(h + np.uint64(k)) % np.uint64(BLOOM_BITS) for k in (1, 2)]
+def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
+    return [_mixed(h + np.uint64(k)) % np.uint64(size) for k in (1, 2)]
 
 
-def _shared_grams(rows: DataFrame, width: int, gram: int) -> tuple[np.ndarray, int]:
-    """The filter of grams at two anchors or more, and how many anchors have one."""
+def _shared_grams(rows: DataFrame, width: int, gram: int, per_range: int) -> tuple[np.ndarray, int, dict[bytes, int]]:
+    """The filter of grams at two anchors or more, how many anchors have one, and by order hash the grams with more than one range and their ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 found = [anchors(data, width, gram)[1] for _, _, data in _texts(b.slice(at, 500))]
-                h = np.concatenate([np.zeros(0, dtype=np.uint64), *found])
-                kinds, n = np.unique(h, return_counts=True)
-                first, second = (x.astype(np.int64) for x in _bits(kinds))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(first), pa.array(second), pa.array(n.astype(np.int64))], ["h", "b1", "b2", "n"])
-
-    found = rows.mapInArrow(run, "h long, b1 long, b2 long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.first("b1").alias("b1"), F.first("b2").alias("b2"))
-    found = keep(found.where("n > 1").select("n", "b1", "b2"), "grams")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    words = found.select(F.explode(F.array("b1", "b2")).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("v"))
-    got = words.toArrow()
-    bits = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
-    bits[got.column("word").to_numpy()] = got.column("v").to_numpy()
-    return bits.view(np.uint64), total
-
-
-def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_range: int = RANGE) -> DataFrame:
-    """``did, rid, begin, end``: stretches that together cover what repeats; ``docs`` has ``did, rid, text``."""
-    sc = docs.sparkSession.sparkContext
-    bits, total = _shared_grams(docs, width, gram)
-    shared = sc.broadcast(bits)
+                kinds, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    found = keep(rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "grams")
+    kinds, total = found.agg(F.count("*"), F.sum("n")).first()
+    hot = {_mixed(np.array([r.h], dtype=np.int64).view(np.uint64) + np.uint64(3)).astype(">u8").tobytes(): -(-r.n // per_range) for r in found.where(F.col("n") > per_range).collect()}
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * kinds).bit_length()))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [s for did, rid, data in _texts(b) for s, _ in _suffixes(data, did, rid, shared.value, width, gram)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:: 1 + len(keys) // SAMPLE], pa.binary())], ["s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(b.column(0).to_numpy().view(np.uint64), size)).astype(np.int64))], ["bit"])
 
-    n, ranges = docs.count(), -(-total // per_range)
-    seen = docs.where(F.pmod("rid", F.lit(1 + n // SAMPLE)) == 0).mapInArrow(sample, "s binary")
-    wanted = SAMPLE / max(1, total / (1 + n // SAMPLE))
-    keys = sorted(bytes(r.s) for r in (seen.sample(wanted, 7) if wanted < 1 else seen).collect()) if ranges > 1 else []
-    cuts = sc.broadcast(sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else [])
+    words = found.select("h").mapInArrow(placed, "bit long").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("v")).toArrow()
+    bits = np.zeros(size // 64, dtype=np.int64)
+    bits[words.column("word").to_numpy()] = words.column("v").to_numpy()
+    forget(found)
+    return bits.view(np.uint64), total or 0, hot
+
+
+_PARTS = pa.schema([("bucket", pa.int64()), ("sub", pa.int32()), ("heads", pa.binary()), ("rests", pa.binary()), ("lefts", pa.binary())])
+_PARTS_DDL = "bucket long, sub int, heads binary, rests binary, lefts binary"
+
+
+def _cut(entries: list[tuple[bytes, tuple]], depth: int, hot: dict[bytes, int]) -> pa.RecordBatch:
+    """A sorted run cut at the ranges of its order hash's first ``depth`` bits; ``sub`` counts the ranges of a hot gram from 1."""
+    parts: dict[tuple[int, int], list[tuple[bytes, tuple]]] = {}
+    for e in entries:
+        order = int.from_bytes(e[0][:8], "big")
+        if several := hot.get(e[0][:8]):
+            key = (order - (1 << 63), 1 + int.from_bytes(e[0][-8:], "big") % several)
+        else:
+            key = (order >> (64 - depth), 0)
+        parts.setdefault(key, []).append(e)
+    out = [(*key, *front_coded(part)) for key, part in parts.items()]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 5, _PARTS, strict=True)], schema=_PARTS)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(entries: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
-            entries.sort(key=lambda e: e[0])
-            ends = [bisect_right(entries, c, key=lambda e: e[0]) for c in cuts.value]
-            out = [(k, *front_coded(entries[a:b])) for k, (a, b) in enumerate(pairwise([0, *ends, len(entries)])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "heads", "rests", "lefts"])
 
+def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_range: int = RANGE, fan: int = FAN) -> DataFrame:
+    """``did, rid, begin, end``: stretches that together cover what repeats; ``docs`` has ``did, rid, text``."""
+    sc = docs.sparkSession.sparkContext
+    bits, total, hot = _shared_grams(docs, width, gram, per_range)
+    shared = sc.broadcast((bits, hot))
+    step, depth = fan.bit_length() - 1, (-(-total // per_range) - 1).bit_length() if total else 0
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hot = shared.value
         entries: list[tuple[bytes, tuple]] = []
         for b in batches:
             for did, rid, data in _texts(b):
-                for e in _suffixes(data, did, rid, shared.value, width, gram):
+                for e in _suffixes(data, did, rid, bits, width, gram):
                     entries.append(e)
                     if len(entries) >= RUN:
-                        yield parts(entries)
+                        yield _cut(sorted(entries, key=lambda e: e[0]), min(step, depth), hot)
                         entries = []
-        yield parts(entries)
+        yield _cut(sorted(entries, key=lambda e: e[0]), min(step, depth), hot)
+
+    def finer(level: int):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Parts of one range, as they stand together, merged to runs and cut again."""
+            held: list[tuple[bytes, bytes, bytes]] = []
+            n, at = 0, None
+
+            def sent() -> pa.RecordBatch:
+                return _cut([(s, payload) for _, s, payload in merge([decoded(*x) for x in held])], level, {})
+
+            for b in batches:
+                for bucket, _, *part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and (bucket != at or n >= RUN):
+                        yield sent()
+                        held, n = [], 0
+                    at = bucket
+                    held.append(tuple(part))
+                    n += len(part[0]) // _HEAD.itemsize
+            yield sent()
+
+        return run
 
-    last = len(cuts.value)
     result = pa.schema([("did", pa.int64()), ("rid", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("w", pa.binary())])
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
-        part = key[0].as_py()
+        border = key[1].as_py() > 0
         rows: list[tuple] = []
         group: list[tuple[bytes, tuple]] = []
-        edge = part > 0
 
-        def close(border: bool) -> None:
+        def close() -> None:
             if len(group) > 1 or border:
                 settled, open_ = repeated(group, width, border)
                 rows.extend((*r, None) for r in settled)
@@ -322,24 +354,32 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_range: in
 
         columns = [table.column(c).to_pylist() for c in ("heads", "rests", "lefts")]
         for h, s, payload in merge([decoded(*x) for x in zip(*columns, strict=True)]):
-            if h < gram and group:
-                close(edge)
-                group, edge = [], False
-            group.append((s, payload))
-        close(edge or part < last)
+            if h < 8 + gram and group:
+                close()
+                group = []
+            group.append((s[8:], payload))
+        close()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, result, strict=True)], schema=result)
 
-    sent = docs.mapInArrow(runs, "part int, heads binary, rests binary, lefts binary")
-    found = keep(sent.groupBy("part").applyInArrow(merged, "did long, rid long, begin long, end long, w binary"), "matches")
+    sent, levels = docs.mapInArrow(runs, _PARTS_DDL), []
+    for level in range(2 * step, depth + step, step):
+        sent = keep(sent, "runs")
+        levels.append(sent)
+        # As many tasks for a range as it takes to give each some twenty runs; a hot gram's parts are final.
+        tasks = 1 + total // (20 * RUN * min(fan << (level - 2 * step), 1 << depth))
+        wide = sent.where("sub = 0").repartition("bucket", F.pmod(F.xxhash64("heads"), F.lit(tasks))).sortWithinPartitions("bucket")
+        sent = sent.where("sub > 0").unionByName(wide.mapInArrow(finer(min(level, depth)), _PARTS_DDL))
+    found = keep(sent.groupBy("bucket", "sub").applyInArrow(merged, "did long, rid long, begin long, end long, w binary"), "matches")
+    forget(*levels)
     edges = found.where("w IS NOT NULL")
     twice = edges.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
     return found.where("w IS NULL").drop("w").unionByName(edges.where("did IS NOT NULL").join(twice, "w", "left_semi").drop("w"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, per_range: int = RANGE) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, per_range: int = RANGE, fan: int = FAN) -> DataFrame:
     """``doc_id``, the bytes left as ``kept``, ``n_bytes``, ``n_removed`` and ``n_spans``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("did"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    spans = covered(rows.select("did", "rid", "text"), width, gram, per_range)
+    spans = covered(rows.select("did", "rid", "text"), width, gram, per_range, fan)
     spans = spans.groupBy("did", "rid").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
