@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from tidemill.llm import decontamination as d
+from tidemill.llm.registry import op10_decontamination
 
 
 def brute(item, text):
@@ -54,3 +57,31 @@ def test_operator(spark):
         assert got == sorted([(10, 1, 0, 3, 39)] * 4 + [(13, 1, 1, 2, 38)] * 2 + [(None, None, 0, 0, 27)], key=repr)
     assert d.leaks(docs, items.limit(0)).count() == 0 and d.leaks(docs.limit(0), items).count() == 0
     assert d.flag(docs, items).columns == ["doc_id", "text", "item_id", "leaks"]
+
+
+def least(item, codes):
+    """``brute`` with a row of the table at once: what comes from the left is a running minimum."""
+    at = np.arange(len(codes) + 1)
+    row = np.zeros(len(codes) + 1, dtype=np.int64)
+    for n, a in enumerate(item, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(a)))
+        row = np.minimum.accumulate(np.concatenate([[n], new]) - at) + at
+    return int(row.min())
+
+
+def test_query_on_a_table(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.01", "sf0.001")
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    rng = random.Random(1)
+    for _ in range(50):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(2))
+        assert least(x, np.array(list(map(ord, y)))) == brute(x, y)
+    want = {}
+    for r in docs:
+        text = np.array(list(map(ord, d.fold(r.text))), dtype=np.int64)
+        for i in items:
+            item = d.fold(i.text)
+            if (x := least(item, text)) <= int(d.RATE * len(item)):
+                want[r.doc_id, i.item_id] = x
+    got = {(r.doc_id, r.item_id): r.distance for r in op10_decontamination(spark, sf_dir).collect()}
+    assert got == want and want

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemill.llm import packing, token_counts
+from tidemill.llm.registry import op6_token_counts, op8_best_fit_packing
 from tidemill.llm.tokens import encoder
 
 TEXTS = [None, "", " ", "a", "Hello  world\n\n  it's  <|endoftext|> here\t\t x", "é ß   z 漢字", "don't\r\n\r\nstop ", "w " * 3000, "x" * 5000, "same text", "same text"]
@@ -90,3 +91,32 @@ def test_empty_tables(spark):
     sums = token_counts.suffix_sums(token_counts.length_histogram(df))
     assert sums.count() == 0
     assert [tuple(r) for r in token_counts.truncated_totals(sums, [5]).collect()] == [(5, 0, 0)]
+
+
+def test_queries_on_a_table(spark, sf_dir, exact):
+    ids = {r.doc_id: exact(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    lengths = np.array([len(x) for x in ids.values()])
+    got = {r.n_tokens: r for r in op6_token_counts(spark, sf_dir).collect()}
+    assert set(got) == set(lengths.tolist())
+    for n, r in got.items():
+        assert (r.n_docs, r.docs_from, r.tokens_from, r.truncated_total) == ((lengths == n).sum(), (lengths >= n).sum(), lengths[lengths >= n].sum(), np.minimum(lengths, n).sum())
+    out = op8_best_fit_packing(spark, sf_dir).collect()
+    pieces, sequences = {}, {}
+    for r in out:
+        pieces.setdefault(r.doc_id, {})[r.piece] = r
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        whole = np.array([*ids[r.doc_id], 2], "<u4")
+        assert r.ids_crc32 == zlib.crc32(whole[r.start : r.start + r.length].tobytes())
+    for i, x in ids.items():
+        assert [(pieces[i][k].start, pieces[i][k].length) for k in range(len(pieces[i]))] == packing.cut(len(x) + 1, 1024)
+    for parts in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    assert len(sequences) <= 1.01 * (lengths.sum() + len(lengths)) / 1024 + 1
+
+
+def test_one_row_repeated_is_dealt_to_all_tasks(spark):
+    df = spark.range(30_000).selectExpr("cast(null as long) AS doc_id", "0 AS piece", "0L AS start", "340L AS length", "7L AS ids_crc32")
+    out = packing.pack(df, target=1000)
+    fill = out.groupBy("sequence_id").count().groupBy("count").count().collect()
+    assert {r[0]: r[1] for r in fill} == {3: 10_000}

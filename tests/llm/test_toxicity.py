@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,6 +78,29 @@ def test_counts_of_clean_and_toxic_texts(spark, monkeypatch):
     assert got == {"vile": (0, 1), "worm": (2, 1), "worms": (0, 1), "worm*": (0, 1), "a": (1, 0)}
 
 
+def test_lexicon_and_scores_equal_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "YOU ARE !!! LOUD WORDS")]
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = t.train(docs, labels)
+    words = {i: set(re.findall(r"[^\W\d_]+", (x or "").lower())) for i, x in rows}
+    tokens = {i: {z for w in ws for z in (w, *(w[:k] + "*" for k in range(4, 9) if len(w) > k))} for i, ws in words.items()}
+    n = [sum(marks.get(i) == y for i, _ in rows) for y in (0, 1)]
+    count = [Counter(z for i, zs in tokens.items() if marks.get(i) == y for z in zs) for y in (0, 1)]
+    ratio = {z: math.log((c + 0.5) / (n[1] + 1)) - math.log((count[0][z] + 0.5) / (n[0] + 1)) for z, c in count[1].items() if c >= t.LEAST}
+    telling = {z: r for z, r in ratio.items() if r > t.LIFT}
+    assert model.lexicon.labelled == tuple(n) and set(model.index) == set(telling) and len(telling) > 5
+    order = [telling[z] * math.sqrt(count[1][z]) for z in model.index]
+    assert all(a >= b - 1e-9 for a, b in zip(order, order[1:], strict=False))
+    got = {r.doc_id: r.score for r in t.score(docs, model).collect()}
+    entries = list(model.index)
+    for i, x in rows:
+        loud = sum(any(z in telling for z in (w, *(w[:k] + "*" for k in range(4, 9) if len(w) > k))) for w in words[i])
+        extra = [loud == 0, loud > 1, loud > 2, *(bool(pattern.search(x or "")) for _, pattern in t.PATTERNS)]
+        z = model.bias + sum(w for w, e in zip(model.weights, [*(e in tokens[i] for e in entries), *extra], strict=True) if e)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_held_out_rows(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.01", "sf0.1")  # enough positives to measure on
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
