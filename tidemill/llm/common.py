@@ -91,6 +91,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(docs: DataFrame, gone: DataFrame, key: dict[str, Column], most: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose ``key``, expressions by name that are never null, is in the kept table ``gone``.
+
+    Up to ``most`` rows, which are counted, ``gone`` is broadcast, so that texts stay
+    where they are; a larger one is joined by a shuffle.
+    """
+    names = {c: fresh(docs, c) for c in key}
+    gone = gone.select(*[F.col(c).alias(names[c]) for c in key])
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.withColumns({names[c]: e for c, e in key.items()}).join(gone, list(names.values()), "left_anti").select(*docs.columns)
+
+
 def remainder(id_col: str, n: int):
     """crc32 of an id written as text, modulo ``n``: a split of the rows that doesn't depend on their order."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

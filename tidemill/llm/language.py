@@ -1,219 +1,192 @@
 """Language identification, word first with character n-grams behind.
 
-Training counts every word of the labelled rows by language, and from those
-counts every character n-gram of ``^word$`` up to four characters. A known word
-votes with its log frequency in each language, normalised over the languages.
-An unseen word votes with the mean over its positions of the longest n-gram
-known there, so it falls back from four characters to one. A text's votes are
-summed; the score is the winner's share after a soft maximum.
-
-No word and no n-gram is cut. All n-grams are broadcast, and of the words the
-``max_words`` most frequent; that number is only where a word's votes are looked
-up. Other words of a text leave it with their number, are joined as distinct
-words with the whole count table, or scored by n-grams if it has none of them,
-and their votes are added to the text's by a hash of the text (64 bits, and its
-length). So results are the same for any ``max_words``.
+Words are runs of letters (``\\p{L}``) of the text in lower case, cut by the same
+expression for training and prediction. Training counts every word of the
+labelled rows by language, and from those counts every character n-gram of
+``^word$`` up to four characters. A known word votes with its log frequency in each
+language, normalised over the languages. An unseen word votes with the mean over
+its places of the longest n-gram known there, so it falls back from four
+characters to one; a place without any counts for nothing. A text's votes are
+summed; the score is the winner's share after a soft maximum. Votes are whole
+multiples of ``1 / SCALE``, so sums don't depend on their order.
+
+No word and no n-gram is cut. The most frequent words, at most ``max_words``, are
+looked up in the tasks that read the texts; that number only says where. The other
+words of a text leave it with their number and are joined, as distinct words,
+with the whole table of words; those it hasn't are cut into n-grams and joined with the
+table of n-grams, of which nothing goes to the driver.
 
 Null texts and texts without a letter get ``und`` and score 0, and so does
 everything if there is no labelled row. Labels that are null are not learned.
-Ties go to the first language in alphabetical order. Texts are read whole.
+Ties go to the first language in alphabetical order. Texts are read whole. Repeated
+rows are predicted each alike. Other columns pass through, but for those named
+like the results.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import keep, let
+from tidemill.llm.common import forget, fresh, keep, let
 
-MAX_WORDS = 100_000
+MAX_WORDS = 200_000
 LONGEST = 4
+SCALE = 1 << 16
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+ROWS = 500
 
 
 @dataclass
 class Model:
+    """The languages, the most frequent words with their votes, and tables ``word, votes`` and ``gram, votes`` of all others."""
+
     languages: list[str]
     words: list[str]
     word_votes: np.ndarray
-    grams: list[str]
-    gram_votes: np.ndarray
-    #: ``word, votes`` of the words that are not in ``words``; none if all are.
     rest: DataFrame | None = None
+    grams: DataFrame | None = None
 
 
-def _votes(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Log frequency by language less the log of their sum; a pseudo-count scaled to each language's size keeps it finite."""
-    p = (counts + 0.05 * totals / totals.max()) / totals
-    return np.log(p / p.sum(axis=1, keepdims=True)).astype("float32")
-
-
-def _wide(counts: DataFrame, key: str, languages: list[str]) -> DataFrame:
-    return counts.groupBy(key).agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)])
-
-
-def _got(wide: DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
-    got = wide.toArrow()
-    table = np.stack([got.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype("float64") if got.num_rows else np.zeros((0, len(languages)))
-    return got.column(key).to_pylist(), table, got.column("all").to_pylist()
+def cleaned(text: Column | str) -> Column:
+    """The words of a text with single spaces between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
 
 
-def _votes_column(totals: np.ndarray) -> Column:
-    """``_votes`` of the columns ``n0``, ``n1``, ..."""
-    p = [(F.col(f"n{i}") + float(0.05 * x / totals.max())) / float(x) for i, x in enumerate(totals)]
-    return let(F.array(*p), lambda a: let(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), lambda s: F.transform(a, lambda x: F.log(x / s).cast("float"))))
+def _votes(counts: DataFrame, key: str, languages: list[str], totals: list[int]) -> DataFrame:
+    """``key, n, votes``: log frequency by language less the log of their sum; a pseudo-count scaled to each language's size keeps it finite."""
+    each = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
+    p = F.array(*[(F.col(f"n{i}") + 0.05 * x / max(totals)) / float(x) for i, x in enumerate(totals)])
+    votes = let(p, lambda a: let(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), lambda s: F.transform(a, lambda x: F.round(F.log(x / s) * SCALE).cast("int"))))
+    return counts.groupBy(key).agg(F.sum("n").alias("n"), *each).select(key, "n", votes.alias("votes"))
 
 
-def _grams(k: int) -> Column:
-    last = F.length("w") - (k - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("w"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def _cut(word: str, k: int) -> Column:
+    """The ``k`` characters from each place of ``^word$`` on; near its end, what is left."""
+    w = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 2), lambda i: F.substr(w, i, F.lit(k)))
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS) -> Model:
-    words = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), r"[^\p{L}]+")).alias("word"))
+    words = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(F.split(cleaned(text_col), " ")).alias("word"))
     counts = keep(words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
+    size = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(size)
     if not languages:
-        return Model([], [], np.zeros((0, 0), "float32"), [], np.zeros((0, 0), "float32"))
-    size = np.array([totals[x] for x in languages], dtype="float64")
-    wide = keep(_wide(counts, "word", languages), "wide")
-    known, table, often = _got(wide.orderBy(F.desc("all"), "word").limit(max_words), "word", languages)
-    rest = None
-    if wide.count() > len(known):
-        behind = F.lit(True) if not known else (F.col("all") < often[-1]) | ((F.col("all") == often[-1]) & (F.col("word") > known[-1]))
-        rest = wide.where(behind).select("word", _votes_column(size).alias("votes"))
-    marked = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
-    cuts = F.flatten(F.array(*[_grams(k) for k in range(1, LONGEST + 1)]))
-    grams = marked.select("lang", "n", F.explode(cuts).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    pieces, gram_table, _ = _got(_wide(grams, "gram", languages), "gram", languages)
-    return Model(languages, known, _votes(table, size), pieces, _votes(gram_table, size), rest)
-
-
-class _Scorer:
-    """One for each worker; it keeps the votes of unseen words until they fill its room."""
-
-    ROOM = 200_000
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.grams = {g: v for g, v in zip(model.grams, model.gram_votes, strict=True)}
-        self.reset()
-
-    def reset(self) -> None:
-        self.index = {w: i for i, w in enumerate(self.model.words)}
-        n = len(self.index)
-        self.votes = np.zeros((n + self.ROOM, len(self.model.languages)), "float32")
-        self.votes[:n] = self.model.word_votes
-        self.used = n
-
-    def unseen(self, word: str) -> np.ndarray:
-        w, got, total = f"^{word}$", 0, np.zeros(len(self.model.languages), "float32")
-        for i in range(len(w)):
-            for k in range(LONGEST, 0, -1):
-                if (v := self.grams.get(w[i : i + k])) is not None and i + k <= len(w):
-                    total += v
-                    got += 1
-                    break
-        return total / max(got, 1)
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            if self.used + len(part) > len(self.votes):
-                self.reset()
-            index = self.index
-            for w in part:
-                if w not in index:
-                    self.votes[self.used] = self.unseen(w)
-                    index[w] = self.used
-                    self.used += 1
-            total += self.votes[[index[w] for w in part]].sum(axis=0, dtype="float64")
-        best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
-
-
-def _parts(texts: DataFrame, shared: Broadcast) -> DataFrame:
-    """By hash and size of a text: whether it has a word, the votes of its words in the model, and its other words with their numbers."""
+        return Model([], [], np.zeros((0, 0), "int64"))
+    totals = [size[x] for x in languages]
+    # Classes of frequency, a quarter of a power of two each: as many of the highest as have max_words words together.
+    table = keep(_votes(counts, "word", languages, totals).withColumn("often", F.floor(F.log2("n") * 4).cast("int")), "votes")
+    held, least = 0, None
+    for r in sorted(table.groupBy("often").agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > max_words:
+            break
+        least = r.often
+    top = table.where(F.col("often") >= least if least is not None else F.lit(False)).select("word", "votes").toArrow()
+    rest = table.where(F.col("often") < least if least is not None else F.lit(True)).select("word", "votes")
+    exact = lambda k: F.filter(_cut("word", k), lambda g: F.length(g) == k)
+    cuts = F.flatten(F.array(*map(exact, range(1, LONGEST + 1))))
+    grams = counts.select("lang", "n", F.explode(cuts).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = keep(_votes(grams, "gram", languages, totals).select("gram", "votes"), "grams")
+    votes = np.array(top.column("votes").to_pylist(), "int64").reshape(-1, len(languages))
+    return Model(languages, top.column("word").to_pylist(), votes, rest, grams)
+
+
+def _parts(texts: DataFrame, model: Model) -> DataFrame:
+    """A kept table: beside the columns of ``texts``, less the text, the last one: whether it has a word, the votes of its words in the model, and its other words with their numbers."""
+    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.word_votes))
+    kept = texts.columns[:-1]
+    other = pa.struct([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        index = {w: i for i, w in enumerate(model.words)}
+        words, votes = shared.value
+        index = {w: i for i, w in enumerate(words)}
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                some, sums, other = [], [], []
-                for t in part.column(2):
-                    n = Counter(_WORD.findall(t.as_py().lower()))
-                    known = [(index[w], k) for w, k in n.items() if w in index]
-                    at_, k_ = (np.array(c, dtype="int64") for c in (zip(*known, strict=True) if known else ((), ())))
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                some, sums, left, left_n, ends = [], [], [], [], [0]
+                for t in part.column(len(kept)):
+                    n = Counter(t.as_py().split())
+                    ids = np.fromiter((index.get(w, -1) for w in n), "int64", len(n))
+                    times = np.fromiter(n.values(), "int64", len(n))
+                    known = ids >= 0
                     some.append(bool(n))
-                    sums.append((model.word_votes[at_].astype("float64") * k_[:, None]).sum(axis=0))
-                    other.append([{"word": w, "n": k} for w, k in n.items() if w not in index])
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(some), pa.array(sums, pa.list_(pa.float64())), pa.array(other, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))], ["_hash", "_size", "some", "sums", "other"])
-
-    return texts.mapInArrow(run, "_hash long, _size int, some boolean, sums array<double>, other array<struct<word: string, n: long>>")
-
-
-def _unseen_votes(words: DataFrame, shared: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.unseen(w) for w in b.column(0).to_pylist()], pa.list_(pa.float32()))], ["word", "votes"])
-
-    return words.mapInArrow(run, "word string, votes array<float>")
-
-
-def _predict_joined(docs: DataFrame, model: Model, text_col: str, pred: str, score: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
-    langs, key = range(len(model.languages)), ["_hash", "_size"]
+                    sums.append(times[known] @ votes[ids[known]])
+                    if not known.all():
+                        left += [w for w in n if w not in index]
+                        left_n.append(times[~known])
+                    ends.append(len(left))
+                struct = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(np.concatenate([np.zeros(0, "int64"), *left_n]))], fields=list(other))
+                each = [pa.array(some, pa.bool_()), pa.array(sums, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *each], [*kept, "some", "sums", "other"])
+
+    out = keep(texts.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in texts.dtypes[:-1])}, some boolean, sums array<long>, other array<struct<word: string, n: long>>"), "parts")
+    shared.destroy()
+    return out
+
+
+def _unseen(words: DataFrame, grams: DataFrame, languages: int) -> DataFrame:
+    """``word, votes`` of words from their n-grams.
+
+    What a place falls back to depends on the four characters there alone, so
+    these are settled first, each once.
+    """
+    places = words.select("word", F.explode(_cut("word", LONGEST)).alias("asked"))
+    found = places.select("asked").distinct()
+    for k in range(LONGEST, 0, -1):
+        known = grams.where(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("votes").alias(f"v{k}"))
+        found = found.join(known, F.substring("asked", 1, k) == F.col(f"g{k}"), "left").drop(f"g{k}")
+    found = found.select("asked", F.coalesce(*[f"v{k}" for k in range(LONGEST, 0, -1)]).alias("v"))
+    sums = [F.sum(F.col("v")[i].cast("long")).alias(f"s{i}") for i in range(languages)]
+    total = places.join(keep(found.where("v IS NOT NULL"), "places"), "asked").groupBy("word").agg(F.count("*").alias("k"), *sums)
+    return total.select("word", F.array(*[F.round(F.col(f"s{i}") / F.col("k")).cast("int") for i in range(languages)]).alias("votes"))
+
+
+def text_key(text_col: str = "text") -> dict[str, Column]:
+    """What a text is known by: its hash and its length."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = [F.xxhash64(text).alias("_hash"), F.length(text).alias("_size")]
-    parts = keep(_parts(docs.select(*hashed, text.alias("text")), shared), "parts").dropDuplicates(key)
-    other = parts.select(*key, F.inline("other"))
+    return {"text_hash": F.xxhash64(text), "text_size": F.length(text)}
+
+
+def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """A kept table with a row for each distinct text: its key, ``lang_pred`` and ``score``."""
+    key = text_key(text_col)
+    names = list(key)
+    if not model.languages:
+        return keep(docs.select(*[e.alias(c) for c, e in key.items()]).distinct().select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")), "judged")
+    text = cleaned(F.coalesce(F.col(text_col), F.lit("")))
+    parts = _parts(docs.select(F.monotonically_increasing_id().alias("row"), *[e.alias(c) for c, e in key.items()], text.alias("text")), model)
+    other = parts.select("row", F.inline("other"))
     asked = keep(other.select("word").distinct().join(model.rest, "word", "left"), "asked")
-    votes = asked.where("votes IS NOT NULL").unionByName(_unseen_votes(asked.where("votes IS NULL").select("word"), shared))
-    added = other.join(keep(votes, "votes"), "word").groupBy(*key).agg(*[F.sum(F.col("n") * F.col("votes")[i].cast("double")).alias(f"a{i}") for i in langs])
-    total = F.array(*[F.col("sums")[i] + F.coalesce(F.col(f"a{i}"), F.lit(0.0)) for i in langs])
+    langs = range(len(model.languages))
+    unseen = _unseen(asked.where("votes IS NULL").select("word"), model.grams, len(model.languages))
+    votes = keep(asked.where("votes IS NOT NULL").unionByName(unseen), "votes")
+    added = other.join(votes, "word").groupBy("row").agg(*[F.sum(F.col("n") * F.col("votes")[i]).alias(f"a{i}") for i in langs])
+    total = F.array(*[F.col("sums")[i] + F.coalesce(F.col(f"a{i}"), F.lit(0).cast("long")) for i in langs])
     most = F.array_max("total")
-    best = F.get(F.array(*[F.lit(x) for x in model.languages]), F.array_position("total", most).cast("int") - 1)
-    share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - most))
-    found = parts.select(*key, "some", "sums").join(added, key, "left").select(*key, "some", total.alias("total"))
-    found = keep(found.select(*key, F.when(F.col("some"), best).otherwise(UNKNOWN).alias(pred), F.when(F.col("some"), share).otherwise(0.0).alias(score)), "found")
-    docs = docs.drop(pred, score)
-    return docs.select("*", *hashed).join(found, key).select(*docs.columns, pred, score)
+    best = F.get(F.array(*[F.lit(x) for x in model.languages]), (F.array_position("total", most) - 1).cast("int"))
+    share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp((x - most) / SCALE))
+    found = parts.select("row", *names, "some", "sums").join(added, "row", "left").select(*names, "some", total.alias("total"))
+    found = found.select(*names, F.when(F.col("some"), best).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("some"), share).otherwise(0.0).alias("score"))
+    out = keep(found.dropDuplicates(names), "judged")
+    forget(asked, votes, parts)
+    return out
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score; only the text is read."""
-    if model.rest is not None:
-        return _predict_joined(docs, model, text_col, pred, score)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    kept = [c for c in docs.columns if c not in (pred, score)]
-    where = [docs.columns.index(c) for c in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
-        for b in batches:
-            found = [scorer.score(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in where), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept, pred, score])
-
-    schema = docs.select(*kept).schema.add(pred, "string").add(score, "double")
-    return docs.mapInArrow(run, schema)
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())])
+    key = text_key(text_col)
+    names = {c: fresh(docs, c) for c in key}
+    found = judged(docs, model, text_col).withColumnsRenamed(names | {"lang_pred": pred, "score": score})
+    return docs.withColumns({names[c]: e for c, e in key.items()}).join(found, list(names.values())).select(*docs.columns, pred, score)
 
 
 def accepted(pred: Column, score: Column, least: float = 0.5) -> Column:
