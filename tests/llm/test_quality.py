@@ -1,8 +1,13 @@
+import math
 import random
 import re
 
+import numpy as np
+import pytest
+
 from tidemill.llm import quality as q
 
+STEPS = 5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
     None, "", " \n\t ", "one", "a b c d e a b c d e", "a a a a a a a a a a a a", "x\ny\nx\n\n \nx \ny", "#tag $5 a|b <i> 100% & *", "é 漢字 😀 " * 9, "a\x0bb\x0cc\rd\te f\xa0g h",
@@ -27,7 +32,7 @@ def test_counts_equal_brute_force(spark):
     rng = random.Random(5)
     texts = TEXTS + ["".join(rng.choice(["a ", "b ", "c\n", "#", "é", " \t"]) for _ in range(rng.randrange(200))) for _ in range(150)]
     df = spark.createDataFrame([(i, t, None, "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS n_words", "2 AS d2")
-    got = q.judge(df).collect()
+    got = q.judge(df, steps=2).collect()
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(texts[r.doc_id]), repr(texts[r.doc_id])[:80]
@@ -40,7 +45,7 @@ def test_outliers_of_their_source_go(spark):
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(80, 400))), "en", "s") for i in range(300)]
     rows += [(1000 + i, " ".join(rng.choice(words) + "###" for _ in range(200)), "en", "s") for i in range(40)]
     rows += [(2000 + i, " ".join(rng.choice(words) for _ in range(100)), None, None) for i in range(3)]
-    got = {r.doc_id: r.kept for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    got = {r.doc_id: r.kept for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), steps=4).collect()}
     assert all(got[i] for i in range(300)) and all(got[2000 + i] for i in range(3))
     assert not any(got[1000 + i] for i in range(40))
 
@@ -53,11 +58,66 @@ def test_each_repeat_statistic_can_reject(spark):
     rows += [(1000 + i, "\n".join(f"{line(10)}\nread on" for _ in range(20)), "en", "s") for i in range(8)]  # a label between most lines
     again = [line(20) for _ in range(8)]
     rows += [(2000 + i, f"{again[i]} {line(90)} {again[i]} {line(90)}", "en", "s") for i in range(8)]  # 18 % of the words, no line twice
-    got = {r.doc_id: r for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    got = {r.doc_id: r for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), steps=4).collect()}
     assert not any(r.base_failed for r in got.values()) and all(got[i].kept for i in range(300))
     assert all(got[1000 + i].n_dup_lines == 19 and got[1000 + i].n_repeat_words == 0 and not got[1000 + i].kept for i in range(8))
     assert all(got[2000 + i].n_dup_lines == 0 and got[2000 + i].n_repeat_words == 40 and not got[2000 + i].kept for i in range(8))
 
 
+def fitted(x):
+    """Mean, Cholesky factor and scale of a group's rows, by the rule in the module's docstring."""
+    floor = np.diag(np.square(q._FLOOR))
+    quantile = lambda v, p: sorted(v)[max(math.ceil(p * len(v)), 1) - 1]
+    estimate = lambda y: (y.mean(axis=0), np.linalg.cholesky(np.cov(y.T, bias=True) + floor))
+    d2 = lambda e: np.square(np.linalg.solve(e[1], (x - e[0]).T)).sum(axis=0)
+    step = lambda e: (lambda d: estimate(x[d <= quantile(d, q.H)]))(d2(e))
+    det = lambda e: 2 * np.log(np.diag(e[1])).sum()
+    middle = np.array([quantile(c, 0.5) for c in x.T])
+    spread = [max((quantile(c, 0.75) - quantile(c, 0.25)) / 1.349, 2 * f) for c, f in zip(x.T, q._FLOOR, strict=True)]
+    tried = []
+    for e in ((middle, np.diag(spread)), (middle, np.eye(5)), estimate(x)):
+        for _ in range(q.TRIAL):
+            e = step(e)
+        tried.append(e)
+    e = min(tried, key=det)
+    for _ in range(STEPS - q.TRIAL):
+        before, e = e, step(e)
+        if abs(det(e) - det(before)) < q.SETTLED:
+            break
+    return e, max(quantile(d2(e), 0.5) / 4.351, 1.0)
+
+
+@pytest.mark.parametrize("inline", [q.INLINE, 0])
+def test_distances_equal_brute_force(spark, inline):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    rows = []
+    for i in range(260):
+        lines = [" ".join(rng.choice(words) + "#" * (rng.random() < 0.05) for _ in range(rng.randrange(4, 30))) for _ in range(rng.randrange(1, 15))]
+        lines += [rng.choice(lines)] * (rng.random() < 0.2)
+        rows.append((i, "\n".join(lines) + " ###" * (40 if i % 50 == 0 else 0), *rng.choice([("en", "s"), ("en", "s"), ("en", "small"), (None, None)])))
+    small = [i for i, r in enumerate(rows) if r[3] == "small"]
+    rows = [r for i, r in enumerate(rows) if i not in small[30:]]  # too few for an estimate of their own, and for the pool
+    got = {r.doc_id: r for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), inline=inline, steps=STEPS).collect()}
+    assert len(got) == len(rows)
+    vectors = {}
+    for i, text, _, source in rows:
+        n, chars, symbols, dup, again, failed = brute(text)
+        if not failed:
+            vectors.setdefault(source, {})[i] = [math.log(n), 4 * math.log((chars + 1) / n), math.log1p(100 * symbols / n), math.log1p(100 * dup / n), math.log1p(100 * again / n)]
+    gone = 0
+    for source, x in vectors.items():
+        if source == "small":
+            assert all(got[i].d2 is None and got[i].kept for i in x)
+            continue
+        (m, factor), scale = fitted(np.array(list(x.values())))
+        for i, v in x.items():
+            want = np.square(np.linalg.solve(factor, np.array(v) - m)).sum() / scale
+            assert got[i].d2 == pytest.approx(want, rel=1e-6, abs=1e-9)
+            assert got[i].kept == (want <= q.LIMIT)
+            gone += want > q.LIMIT
+    assert 0 < gone < 20
+
+
 def test_empty_table(spark):
     assert q.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0

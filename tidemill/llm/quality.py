@@ -22,8 +22,10 @@ symbols above 7 and repeated lines above 4 for 100 words, repeated words above
 12 %, in a source that has none.
 
 Every step is a grouped sum or a grouped quantile sketch, both combined before
-the shuffle, and rows meet their group's estimate by salted key, so a source
-with a third of all rows is no burden to one task. Estimates are never collected.
+the shuffle, so a source with a third of all rows is no burden to one task. Rows
+look their group's estimate up in a constant of the plan where there are at most
+``INLINE`` groups, a number that is checked; beyond, they meet it in a join under
+keys salted by the number of rows. Both give the same estimates.
 
 Null texts count as empty and fail the base limits. Groups with fewer than
 ``least`` fitted rows are pooled by language; a pool that is still smaller has
@@ -34,10 +36,13 @@ those named like the operator's own.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACE, keep, let
+from tidemill.llm.common import SPACE, forget, keep, let
 
 H = 0.75
 TRIAL = 2
@@ -46,14 +51,16 @@ SETTLED = 1e-3
 LEAST = 50
 #: 99.99 % quantile of chi-square with 5 degrees of freedom.
 LIMIT = 25.745
-SALTS = 16
+#: Estimates that a plan may hold. Rows of one group for each salt of its key, where rows are joined with estimates.
+INLINE = 2000
+PER_SALT = 1_000_000
 STATS = ("x0", "x1", "x2", "x3", "x4")
 #: Median of chi-square with as many degrees of freedom as there are statistics. Least spread of each statistic.
 _CHI2_MEDIAN = {5: 4.351}
 _FLOOR = (0.3, 0.4, 0.4, 0.3, 0.5)
 
 #: Columns of these names in the input give way to the operator's own.
-RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "scale", "_w", "_g", "_t", "_own", "_pool", "_n", "_s", *STATS)
+RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "_w", "_g", "_own", "_pool", "_e", *STATS)
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -100,28 +107,40 @@ def vector() -> list[Column]:
         F.log(n.cast("double")), F.log((F.col("word_chars") + 1) / n) * 4, F.log1p(F.col("n_symbols") * 100 / n), F.log1p(F.col("n_dup_lines") * 100 / n), F.log1p(F.col("n_repeat_words") * 100 / n)), strict=True)]
 
 
-def _looked_up(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
-    """``rows`` with the values of their group. Each group's row is laid out ``SALTS`` times, so a hot group's rows meet it in as many tasks."""
-    each = groups.withColumn("_s", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
-    return rows.join(each, ["_g", "_s"], how)
-
-
-def _measured(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` with ``d2`` from each estimate of their group; null without one."""
-    out = _looked_up(rows, groups, "left")
+def _looked_up(rows: DataFrame, groups: DataFrame, key: str, values: list[str], inline: int = INLINE) -> DataFrame:
+    """``rows`` with the values of their group as the array ``_e``, null without one. ``groups`` has a row for each key."""
+    got = groups.select(key, *[F.col(c).cast("double") for c in values]).limit(inline + 1).collect()
+    if len(got) <= inline:
+        if not got:
+            return rows.withColumn("_e", F.lit(None).cast("array<double>"))
+        keys = F.split(F.lit(",".join(str(r[0]) for r in got)), ",").cast("array<long>")
+        table = F.from_json(F.lit(json.dumps([list(r[1:]) for r in got])), "array<array<double>>")
+        at = F.array_position(keys, F.col(key))
+        return rows.withColumn("_e", F.when(at > 0, F.get(table, (at - 1).cast("int"))))
+    salts = 1 + rows.count() // PER_SALT
+    each = groups.select(key, F.array(*[F.col(c).cast("double") for c in values]).alias("_e"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_s"))
+    return rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).join(each, [key, "_s"], "left").select(*rows.columns, "_e")
+
+
+def _measured(rows: DataFrame, groups: DataFrame, more: tuple[str, ...] = (), inline: int = INLINE) -> DataFrame:
+    """``rows`` with ``d2`` from the estimate of their group, null without one, and what ``more`` names of that."""
+    names = [*_PARTS, *more]
+    e = {c: F.col("_e")[i] for i, c in enumerate(names)}
+    out = _looked_up(rows, groups, "_g", names, inline)
     for i in range(len(STATS)):
-        z = F.col(STATS[i]) - F.col(f"m{i}")
+        z = F.col(STATS[i]) - e[f"m{i}"]
         for k in range(i):
-            z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(STATS))), F.col("z0") * F.col("z0"))).select(*rows.columns, "d2", *[c for c in ("scale", "_t") if c in groups.columns])
+            z = z - e[f"l{i}{k}"] * F.col(f"z{k}")
+        out = out.withColumn(f"z{i}", z / e[f"l{i}{i}"])
+    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(STATS))), F.col("z0") * F.col("z0"))
+    return out.select(*rows.columns, d2.alias("d2"), *[e[c].alias(c) for c in more])
 
 
-def _estimate(rows: DataFrame, by: tuple[str, ...] = ("_g", "_t")) -> DataFrame:
+def _estimate(rows: DataFrame) -> DataFrame:
     """Mean and Cholesky factor of the covariance by group, with a floor on each spread, and the log of the determinant."""
     d = len(STATS)
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)] + [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)]
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+    out = rows.groupBy("_g").agg(F.count("*").alias("n"), *sums)
     for i in range(d):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") + (F.lit(_FLOOR[i] ** 2) if i == j else F.lit(0.0))
@@ -129,45 +148,49 @@ def _estimate(rows: DataFrame, by: tuple[str, ...] = ("_g", "_t")) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
     det = sum((2 * F.log(f"l{i}{i}") for i in range(1, d)), 2 * F.log("l00"))
-    return out.withColumn("det", det).select(*by, "n", "det", *_PARTS)
+    return out.withColumn("det", det).select("_g", "n", "det", *_PARTS)
 
 
 _PARTS = [f"m{i}" for i in range(len(STATS))] + [f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
 
 
-def _starts(rows: DataFrame, least: int) -> DataFrame:
-    """Three estimates of each group, numbered ``_t``."""
+def _starts(rows: DataFrame, least: int) -> list[DataFrame]:
+    """Three estimates of each group."""
     d = len(STATS)
     q = rows.groupBy("_g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(STATS)]).where(F.col("n") >= least)
+    q = keep(q, "quartiles")
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2 * _FLOOR[i]))
     medians = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(d)]
-    diagonal = lambda t, size: q.select("_g", F.lit(t).alias("_t"), *medians, *[(size(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
-    whole = _estimate(rows, ("_g",)).where(F.col("n") >= least).select("_g", F.lit(2).alias("_t"), *_PARTS)
-    return diagonal(0, spread).unionByName(diagonal(1, lambda i: F.lit(1.0))).unionByName(whole)
+    diagonal = lambda size: q.select("_g", *medians, *[(size(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
+    whole = keep(_estimate(rows).where(F.col("n") >= least).select("_g", *_PARTS), "mcd")
+    return [diagonal(spread), diagonal(lambda i: F.lit(1.0)), whole]
 
 
-def _step(rows: DataFrame, groups: DataFrame, h: float) -> DataFrame:
+def _step(rows: DataFrame, groups: DataFrame, h: float, inline: int) -> DataFrame:
     """Each estimate refitted to the ``h`` part of its group's rows that are nearest to it."""
-    near = _measured(rows, groups.select("_g", "_t", *_PARTS)).where("d2 IS NOT NULL")
-    cut = near.groupBy("_g", "_t").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
-    each = cut.withColumn("_s", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
-    return keep(_estimate(near.join(each, ["_g", "_t", "_s"]).where(F.col("d2") <= F.col("cut"))), "mcd")
+    near = _measured(rows, groups, inline=inline).where("d2 IS NOT NULL")
+    cut = near.groupBy("_g").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
+    return keep(_estimate(_looked_up(near, cut, "_g", ["cut"], inline).where(F.col("d2") <= F.col("_e")[0])), "mcd")
 
 
-def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST, inline: int = INLINE) -> DataFrame:
     """The groups' estimates from rows of ``_g`` and ``STATS``, with the ``scale`` of squared distances."""
-    groups = keep(_starts(rows, least), "mcd")
-    for _ in range(TRIAL):
-        groups = _step(rows, groups, h)
-    best = F.min_by(F.struct("_t", "det", *_PARTS), F.struct("det", "_t")).alias("best")
-    groups = keep(groups.groupBy("_g").agg(best).select("_g", "best.*"), "mcd")
+    tried = []
+    for t, groups in enumerate(_starts(rows, least)):
+        for _ in range(TRIAL):
+            groups = _step(rows, groups, h, inline)
+        tried.append(groups.withColumn("_t", F.lit(t)))
+    best = F.min_by(F.struct("det", *_PARTS), F.struct("det", "_t")).alias("best")
+    groups = keep(reduce(DataFrame.unionByName, tried).groupBy("_g").agg(best).select("_g", "best.*"), "mcd")
     for _ in range(steps - TRIAL):
-        before, groups = groups, _step(rows, groups, h)
-        moved = groups.join(before.select("_g", F.col("det").alias("was")), "_g").agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        before, groups = groups, _step(rows, groups, h, inline)
+        both = before.select("_g", "det").unionByName(groups.select("_g", "det")).groupBy("_g").agg((F.max("det") - F.min("det")).alias("moved"))
+        moved = both.agg(F.max("moved")).first()[0]
+        forget(before)
         if moved is None or moved < SETTLED:
             break
     groups = groups.select("_g", *_PARTS)
-    scale = _measured(rows, groups).where("d2 IS NOT NULL").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
+    scale = _measured(rows, groups, inline=inline).where("d2 IS NOT NULL").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
     return keep(groups.join(scale, "_g"), "mcd")
 
 
@@ -177,10 +200,11 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     pool = F.xxhash64(F.lit("pool"), F.col(lang_col), F.col(lang_col).isNull())
     group = F.xxhash64(F.col(lang_col), F.col(source_col), F.col(lang_col).isNull(), F.col(source_col).isNull())
     rows = statistics(docs, text_col).drop(text_col).select("*", base_failed().alias("base_failed"), group.alias("_own"), pool.alias("_pool"), *vector())
-    rows = keep(rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))), "statistics")
-    large = rows.where("NOT base_failed").groupBy("_own").agg(F.count("*").alias("_n")).where(F.col("_n") >= fit.get("least", LEAST))
-    large = large.select("_own", "_n").withColumnRenamed("_own", "_g")
-    rows = _looked_up(rows.withColumn("_g", F.col("_own")), large, "left").drop("_g").withColumn("_g", F.when(F.col("_n").isNull(), F.col("_pool")).otherwise(F.col("_own"))).drop("_own", "_pool", "_n")
-    groups = estimates(rows.where("NOT base_failed").select("_g", "_s", *STATS), **fit)
-    out = _measured(rows, groups).withColumn("d2", F.col("d2") / F.col("scale"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)).drop("_g", "_s", "scale", *STATS)
+    rows = keep(rows, "statistics")
+    large = keep(rows.where("NOT base_failed").groupBy("_own").agg(F.count("*").alias("n")).where(F.col("n") >= fit.get("least", LEAST)), "large")
+    inline = fit.get("inline", INLINE)
+    rows = _looked_up(rows, large, "_own", ["n"], inline).withColumn("_g", F.when(F.col("_e").isNull(), F.col("_pool")).otherwise(F.col("_own"))).drop("_e", "_own", "_pool")
+    groups = estimates(rows.where("NOT base_failed").select("_g", *STATS), **fit)
+    out = _measured(rows, groups, ("scale",), inline)
+    out = out.withColumn("d2", F.col("d2") / F.col("scale")).drop("scale", "_g", *STATS)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit))
