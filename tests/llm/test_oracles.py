@@ -9,7 +9,8 @@ from tidemill.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(name, spark, sf_dir):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     cur = con.execute(registry.ORACLES[name])
     names = sorted(d[0] for d in cur.description)
     order = [[d[0] for d in cur.description].index(n) for n in names]
