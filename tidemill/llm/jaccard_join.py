@@ -64,7 +64,7 @@ OFTEN = 4
 #: A shingle of at least so many documents is hot. Cost of comparing a pair's whole sets, in pairs of a list.
 HOT = 32
 VERIFY = 32
-HELD = 4_000_000
+HELD = 2_000_000
 FIRST = 6
 #: The filter of ids has 16 bits for each, within these bounds.
 BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 28
