@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, jaccard_join, language, packing, secrets
-from tidemill.llm.common import forget, fresh, keep, release, tables
+from tidemill.llm.common import forget, fresh, keep, release, tables, without
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,32 +55,32 @@ def staged(stage: Stage) -> Stage:
 
 @staged
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = language.predict(docs, language.train(docs), pred=pred, score=score)
-    return found.where(language.accepted(F.col(pred), F.col(score))).select(*docs.columns)
+    found = language.judged(docs, language.train(docs))
+    key = language.text_key()
+    rejected = keep(found.where(~language.accepted(F.col("lang_pred"), F.col("score"))).select(*key), "rejected")
+    return without(docs, rejected, key)
 
 
 @staged
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_hash = F.xxhash64("text")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(text_hash, F.lit(1 << 61))).alias("id"), text_hash.alias("h"), F.length("text").alias("size"), "text")
+    key = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(text_hash, F.lit(1 << 61))), "h": text_hash, "size": F.coalesce(F.length("text"), F.lit(0))}
+    rows = docs.select(*[e.alias(c) for c, e in key.items()], "text")
     found = keep(jaccard_join.join(rows, id_col="id", carry=("h", "size")).where("n_shingles > 0"), "joined")
-    key = ["id", "h", "size"]
     each = found.select(F.col("doc_id").alias("id"), "h", "size", "component", "component_id")
     # Of the texts with their component's least id, one stays; there is nearly always one alone.
-    least = each.where("id = component_id").groupBy("component").agg(F.min(F.struct("h", "size")).alias("stays"), F.max(F.struct("h", "size")).alias("other")).where("stays <> other")
-    also = each.where("id = component_id").join(least, "component").where(F.struct("h", "size") != F.col("stays"))
+    first = each.where("id = component_id")
+    least = first.groupBy("component").agg(F.min(F.struct("h", "size")).alias("stays"), F.max(F.struct("h", "size")).alias("other")).where("stays <> other")
+    also = first.join(least, "component").where(F.struct("h", "size") != F.col("stays"))
     gone = keep(each.where("id <> component_id").select(*key).unionByName(also.select(*key)).distinct(), "gone")
-    twice = keep(each.where("id = component_id").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "twice")
-
-    names = {c: fresh(docs, c) for c in key}
-    keyed = docs.withColumns({names[c]: e for c, e in zip(key, (F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(text_hash, F.lit(1 << 61))), text_hash, F.length("text")), strict=True)})
-    left = keyed.join(gone.withColumnsRenamed(names), list(names.values()), "left_anti")
+    twice = keep(first.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "twice")
+    left = without(docs, gone, key)
     if not twice.limit(1).count():
-        return left.select(*docs.columns)
-    twice = twice.withColumnsRenamed(names)
-    again, once = (left.join(twice, list(names.values()), how) for how in ("left_semi", "left_anti"))
-    return once.unionByName(again.dropDuplicates(list(names.values()))).select(*docs.columns)
+        return left
+    names = {c: fresh(docs, c) for c in key}
+    keyed = left.withColumns({names[c]: e for c, e in key.items()})
+    again = keyed.join(twice.withColumnsRenamed(names), list(names.values()), "left_semi").dropDuplicates(list(names.values())).select(*docs.columns)
+    return without(left, twice, key).unionByName(again)
 
 
 @staged
