@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 #: ASCII white space between words, as regular-expression class content (Java, Python and RE2 alike).
 SPACE = r"\x20\x09-\x0D"
 
+#: Sizes of the batches that Python tasks get, in place of Spark's defaults: a batch of ten thousand texts holds memory that
+#: executors don't give back. A session's own numbers stand.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _live: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -35,6 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets ``ARROW`` where the session has Spark's defaults; ``keep`` does so by itself."""
+    for key, (usual, ours) in ARROW.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, ours)
+
+
 def _at(spark: SparkSession, path: str):  # noqa: ANN202
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -51,6 +63,7 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemill-{name}-{uuid.uuid4().hex}"
+    small_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     fs, p = _at(spark, path)
     fs.deleteOnExit(p)
