@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, jaccard_join, language, packing, secrets
-from tidemill.llm.common import forget, fresh, keep, release, tables, without
+from tidemill.llm.common import forget, fresh, keep, release, small_batches, tables, without
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,6 +43,7 @@ def staged(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         release(spark, _left, but=docs)
         before = tables()
         out = stage(spark, docs, sf_dir)
