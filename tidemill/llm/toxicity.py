@@ -18,8 +18,9 @@ labels of a sample of at most about ``MAX_ROWS`` training rows. Its output is
 the score. Only the text of a row is read to score it.
 
 Texts are read twice: once, the labelled ones, for the lexicon, and once for what
-each holds of it. All fitting and scoring works on those lists of numbers. Rows
-meet their labels in a sort-merge join at every size, since neither side is bounded.
+each holds of it. All fitting and scoring works on those lists of numbers. Up to
+``FEW`` labels, which are counted, are broadcast to the texts, so that texts stay where
+they are; more of them meet the texts in a sort-merge join.
 
 Every token of labelled texts is counted, toxic and clean texts side by side, in
 one distributed aggregation. Those in ``least`` toxic texts or more whose log
@@ -49,6 +50,7 @@ from tidemill.llm.common import forget, keep
 
 #: Tokens that a task counts before it sends what it has.
 ROOM = 200_000
+FEW = 500_000
 VOTERS = 300
 MAX_ROWS = 50_000
 LEAST = 5
@@ -246,7 +248,9 @@ def _marks(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = LEAST) -> Lexicon:
     """The lexicon that the labels of training rows give; empty without both kinds of labels."""
-    labelled = keep(_texts(docs, id_col, text_col).join(_marks(labels, id_col, label_col).hint("merge"), "doc_id"), "labelled")
+    marks = _marks(labels, id_col, label_col)
+    marks = F.broadcast(marks) if marks.count() <= FEW else marks.hint("merge")
+    labelled = keep(_texts(docs, id_col, text_col).join(marks, "doc_id"), "labelled")
     n = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
