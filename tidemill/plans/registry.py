@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.money import charged, discounted
 from tidemill.operators.joins import asof_backward, band_join
 from tidemill.operators.quantiles import exact_quantile
-from tidemill.operators.ranking import top_k_by
+from tidemill.operators.ranking import ranks, top_k_by
 from tidemill.sources.tables import table
 from tidemill.streaming.windows import tumbling
 
@@ -142,3 +142,20 @@ SELECT o_orderkey, o_custkey, round(sum(o_totalprice) OVER (PARTITION BY o_custk
 FROM orders""")
 def moving_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three")
+
+
+@query("""
+SELECT o_orderkey, o_totalprice, row_number() OVER a AS row_number, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 9) AS percent_rank,
+       round(cume_dist() OVER w, 9) AS cume_dist, ntile(100) OVER a AS ntile
+FROM orders WINDOW w AS (ORDER BY o_totalprice DESC), a AS (ORDER BY o_totalprice DESC, o_orderkey)""")
+def order_value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranks(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", descending=True, tiles=100)
+    return found.withColumns({c: F.round(c, 9) for c in ("percent_rank", "cume_dist")})
+
+
+@query("""
+SELECT user_id, last_seen, row_number() OVER a AS row_number, rank() OVER w AS rank, ntile(10) OVER a AS ntile
+FROM (SELECT user_id, date_trunc('hour', max(ts)) AS last_seen FROM events GROUP BY user_id) WINDOW w AS (ORDER BY last_seen), a AS (ORDER BY last_seen, user_id)""")
+def recency_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("t"))
+    return ranks(e.select("user_id", F.date_trunc("hour", "t").cast("timestamp_ntz").alias("last_seen")), "last_seen", "user_id", tiles=10).select("user_id", "last_seen", "row_number", "rank", "ntile")
