@@ -2,10 +2,13 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import quality as q
+from tidemill.llm.registry import op9_quality_rules
 
 STEPS = 5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,3 +124,40 @@ def test_distances_equal_brute_force(spark, inline):
 
 def test_empty_table(spark):
     assert q.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_plans_do_not_grow_with_the_groups(spark):
+    """A step's plan has one size for 4 and for 500 groups, and one lookup of the estimate."""
+    sizes = []
+    for n in (4, 500):
+        rows = spark.range(60 * n).select((F.col("id") % n).alias("_g"), *[F.rand(i).alias(x) for i, x in enumerate(q.STATS)])
+        groups = q.keep(q._estimate(rows), "mcd")
+        plan = q._measured(rows, groups, how="inner").where("d2 < 9")._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan))
+        assert plan.count("Join") == 1
+    assert max(sizes) < 40_000 and abs(sizes[0] - sizes[1]) < 500
+
+
+def test_names_of_working_columns_pass_through_or_give_way(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 101}" for j in range(40 + i)), "en", "s", "mine", 7, "s") for i in range(80)]
+    got = q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, z0 string, z3 int, _s string"), steps=3)
+    assert "_s" not in got.columns and {(r.z0, r.z3) for r in got.collect()} == {("mine", 7)}
+
+
+def test_registered_query_against_sql_and_brute_force(spark, sf_dir):
+    """Counts against DuckDB on the whole table, and words by window against brute force."""
+    sql = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+      l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), k AS (SELECT doc_id, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))
+    SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+      len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n, 0) AS n_dup_lines
+    FROM d LEFT JOIN (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k GROUP BY doc_id) USING (doc_id)"""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = {r[0]: r for r in con.execute(sql).fetchall()}
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    got = op9_quality_rules(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == want[r.doc_id]
+        assert (r.n_repeat_words, r.base_failed) == brute(texts[r.doc_id])[4:] and r.kept == (not r.base_failed and (r.d2 is None or r.d2 <= q.LIMIT))
+    assert 0 < sum(r.base_failed for r in got) < sum(r.kept for r in got)

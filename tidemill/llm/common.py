@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable
-from weakref import WeakKeyDictionary
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources import scratch
+from tidemill.sources.scratch import forget as forget
+from tidemill.sources.scratch import release as release
+from tidemill.sources.scratch import shared_folder as shared_folder
+from tidemill.sources.scratch import tables as tables
+
 #: ASCII white space between words, as regular-expression class content (Java, Python and RE2 alike).
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,28 +20,11 @@ SPACE = r"\x20\x09-\x0D"
 #: executors don't give back. A session's own numbers stand.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_live: set[str] = set()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in local mode, as in tests, a temporary one is set where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def small_batches(spark: SparkSession) -> None:
     """Sets ``ARROW`` where the session has Spark's defaults; ``keep`` does so by itself."""
     for key, (usual, ours) in ARROW.items():
@@ -47,53 +32,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
-def _at(spark: SparkSession, path: str):  # noqa: ANN202
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    It cuts the lineage: a lost executor costs at most the tasks that ran on
-    it, and what is used twice is computed once. The table goes by ``forget`` or
-    ``release``, at the latest when the driver's JVM ends. The shuffle files
-    behind it go as soon as the driver has collected the finished plan, which it
-    is asked to do.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemill-{name}-{uuid.uuid4().hex}"
-    small_batches(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    fs, p = _at(spark, path)
-    fs.deleteOnExit(p)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    _live.add(path)
-    return out
-
-
-def forget(*kept: DataFrame) -> None:
-    """Deletes the files of tables from ``keep`` that no later result reads."""
-    for df in kept:
-        release(df.sparkSession, {_paths[df]} & _live)
-
-
-def tables() -> set[str]:
-    """The folders of all tables kept so far."""
-    return set(_live)
-
-
-def release(spark: SparkSession, paths: Iterable[str], but: DataFrame | None = None) -> None:
-    """Deletes tables once the results built on them are written; those that ``but`` reads stay."""
-    read = {f.split("/")[-2] for f in but.inputFiles()} if but is not None else set()
-    for path in paths:
-        if path.rsplit("/", 1)[-1] not in read and path in _live:
-            fs, p = _at(spark, path)
-            fs.delete(p, True)
-            _live.discard(path)
+def keep(df: DataFrame, name: str = "table", sweep: bool = True) -> DataFrame:
+    """``scratch.keep`` with small Arrow batches."""
+    small_batches(df.sparkSession)
+    return scratch.keep(df, name, sweep)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -22,10 +22,11 @@ symbols above 7 and repeated lines above 4 for 100 words, repeated words above
 12 %, in a source that has none.
 
 Every step is a grouped sum or a grouped quantile sketch, both combined before
-the shuffle, so a source with a third of all rows is no burden to one task. Rows
-look their group's estimate up in a constant of the plan where there are at most
-``INLINE`` groups, a number that is checked; beyond, they meet it in a join under
-keys salted by the number of rows. Both give the same estimates.
+the shuffle, so a source with a third of all rows is no burden to one task. Estimates
+are broadcast where there are at most ``INLINE`` groups, a number that is
+counted; beyond, rows meet theirs in a join under keys salted by the number of rows.
+Both give the same estimates. An estimate carries the inverse of its covariance's
+Cholesky factor, so a distance is one expression and plans don't grow with the groups.
 
 Null texts count as empty and fail the base limits. Groups with fewer than
 ``least`` fitted rows are pooled by language; a pool that is still smaller has
@@ -36,7 +37,6 @@ those named like the operator's own.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +51,7 @@ SETTLED = 1e-3
 LEAST = 50
 #: 99.99 % quantile of chi-square with 5 degrees of freedom.
 LIMIT = 25.745
-#: Estimates that a plan may hold. Rows of one group for each salt of its key, where rows are joined with estimates.
+#: Estimates that are broadcast. Rows of one group for each salt of its key, where rows are joined with estimates.
 INLINE = 2000
 PER_SALT = 1_000_000
 STATS = ("x0", "x1", "x2", "x3", "x4")
@@ -60,7 +60,7 @@ _CHI2_MEDIAN = {5: 4.351}
 _FLOOR = (0.3, 0.4, 0.4, 0.3, 0.5)
 
 #: Columns of these names in the input give way to the operator's own.
-RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "_w", "_g", "_own", "_pool", "_e", *STATS)
+RESERVED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "_w", "_g", "_own", "_pool", "_e", "_s", *STATS)
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -107,37 +107,29 @@ def vector() -> list[Column]:
         F.log(n.cast("double")), F.log((F.col("word_chars") + 1) / n) * 4, F.log1p(F.col("n_symbols") * 100 / n), F.log1p(F.col("n_dup_lines") * 100 / n), F.log1p(F.col("n_repeat_words") * 100 / n)), strict=True)]
 
 
-def _looked_up(rows: DataFrame, groups: DataFrame, key: str, values: list[str], inline: int = INLINE) -> DataFrame:
-    """``rows`` with the values of their group as the array ``_e``, null without one. ``groups`` has a row for each key."""
-    got = groups.select(key, *[F.col(c).cast("double") for c in values]).limit(inline + 1).collect()
-    if len(got) <= inline:
-        if not got:
-            return rows.withColumn("_e", F.lit(None).cast("array<double>"))
-        keys = F.split(F.lit(",".join(str(r[0]) for r in got)), ",").cast("array<long>")
-        table = F.from_json(F.lit(json.dumps([list(r[1:]) for r in got])), "array<array<double>>")
-        at = F.array_position(keys, F.col(key))
-        return rows.withColumn("_e", F.when(at > 0, F.get(table, (at - 1).cast("int"))))
+def _looked_up(rows: DataFrame, groups: DataFrame, key: str, values: list[str], inline: int = INLINE, how: str = "left") -> DataFrame:
+    """``rows`` with the values of their group as the array ``_e``; without one null, or no row where ``how`` is inner. ``groups`` is a kept table with a row for each key."""
+    each = groups.select(key, F.array(*[F.col(c).cast("double") for c in values]).alias("_e"))
+    if groups.count() <= inline:
+        return rows.join(F.broadcast(each), key, how).select(*rows.columns, "_e")
     salts = 1 + rows.count() // PER_SALT
-    each = groups.select(key, F.array(*[F.col(c).cast("double") for c in values]).alias("_e"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_s"))
-    return rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).join(each, [key, "_s"], "left").select(*rows.columns, "_e")
+    each = each.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).join(each, [key, "_s"], how).select(*rows.columns, "_e")
 
 
-def _measured(rows: DataFrame, groups: DataFrame, more: tuple[str, ...] = (), inline: int = INLINE) -> DataFrame:
+def _measured(rows: DataFrame, groups: DataFrame, more: tuple[str, ...] = (), inline: int = INLINE, how: str = "left") -> DataFrame:
     """``rows`` with ``d2`` from the estimate of their group, null without one, and what ``more`` names of that."""
     names = [*_PARTS, *more]
     e = {c: F.col("_e")[i] for i, c in enumerate(names)}
-    out = _looked_up(rows, groups, "_g", names, inline)
-    for i in range(len(STATS)):
-        z = F.col(STATS[i]) - e[f"m{i}"]
-        for k in range(i):
-            z = z - e[f"l{i}{k}"] * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", z / e[f"l{i}{i}"])
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(STATS))), F.col("z0") * F.col("z0"))
+    out = _looked_up(rows, groups, "_g", names, inline, how)
+    off = F.array(*[F.col(x) - e[f"m{i}"] for i, x in enumerate(STATS)])
+    turned = lambda u: F.array(*[reduce(Column.__add__, [e[f"w{i}{k}"] * u[k] for k in range(i + 1)]) for i in range(len(STATS))])
+    d2 = F.aggregate(let(off, turned), F.lit(0.0), lambda a, z: a + z * z)
     return out.select(*rows.columns, d2.alias("d2"), *[e[c].alias(c) for c in more])
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance by group, with a floor on each spread, and the log of the determinant."""
+    """Mean and inverse Cholesky factor of the covariance by group, with a floor on each spread, and the log of the determinant."""
     d = len(STATS)
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)] + [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)]
     out = rows.groupBy("_g").agg(F.count("*").alias("n"), *sums)
@@ -147,30 +139,37 @@ def _estimate(rows: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    for i in range(d):
+        for j in range(i, -1, -1):
+            rest = F.lit(1.0) if i == j else F.lit(0.0)
+            for k in range(j, i):
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
+            out = out.withColumn(f"w{i}{j}", rest / F.col(f"l{i}{i}"))
     det = sum((2 * F.log(f"l{i}{i}") for i in range(1, d)), 2 * F.log("l00"))
     return out.withColumn("det", det).select("_g", "n", "det", *_PARTS)
 
 
-_PARTS = [f"m{i}" for i in range(len(STATS))] + [f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
+_PARTS = [f"m{i}" for i in range(len(STATS))] + [f"w{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
 
 
 def _starts(rows: DataFrame, least: int) -> list[DataFrame]:
     """Three estimates of each group."""
     d = len(STATS)
     q = rows.groupBy("_g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(STATS)]).where(F.col("n") >= least)
-    q = keep(q, "quartiles")
+    q = keep(q, "quartiles", sweep=False)
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2 * _FLOOR[i]))
     medians = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(d)]
-    diagonal = lambda size: q.select("_g", *medians, *[(size(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
-    whole = keep(_estimate(rows).where(F.col("n") >= least).select("_g", *_PARTS), "mcd")
+    diagonal = lambda size: q.select("_g", *medians, *[(1 / size(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(d) for j in range(i + 1)])
+    whole = keep(_estimate(rows).where(F.col("n") >= least).select("_g", *_PARTS), "mcd", sweep=False)
     return [diagonal(spread), diagonal(lambda i: F.lit(1.0)), whole]
 
 
 def _step(rows: DataFrame, groups: DataFrame, h: float, inline: int) -> DataFrame:
     """Each estimate refitted to the ``h`` part of its group's rows that are nearest to it."""
-    near = _measured(rows, groups, inline=inline).where("d2 IS NOT NULL")
+    near = _measured(rows, groups, inline=inline, how="inner")
     cut = near.groupBy("_g").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
-    return keep(_estimate(_looked_up(near, cut, "_g", ["cut"], inline).where(F.col("d2") <= F.col("_e")[0])), "mcd")
+    cut = keep(cut, "cut", sweep=False)
+    return keep(_estimate(_looked_up(near, cut, "_g", ["cut"], inline, "inner").where(F.col("d2") <= F.col("_e")[0])), "mcd", sweep=False)
 
 
 def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST, inline: int = INLINE) -> DataFrame:
@@ -181,7 +180,7 @@ def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LE
             groups = _step(rows, groups, h, inline)
         tried.append(groups.withColumn("_t", F.lit(t)))
     best = F.min_by(F.struct("det", *_PARTS), F.struct("det", "_t")).alias("best")
-    groups = keep(reduce(DataFrame.unionByName, tried).groupBy("_g").agg(best).select("_g", "best.*"), "mcd")
+    groups = keep(reduce(DataFrame.unionByName, tried).groupBy("_g").agg(best).select("_g", "best.*"), "mcd", sweep=False)
     for _ in range(steps - TRIAL):
         before, groups = groups, _step(rows, groups, h, inline)
         both = before.select("_g", "det").unionByName(groups.select("_g", "det")).groupBy("_g").agg((F.max("det") - F.min("det")).alias("moved"))
@@ -190,8 +189,8 @@ def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LE
         if moved is None or moved < SETTLED:
             break
     groups = groups.select("_g", *_PARTS)
-    scale = _measured(rows, groups, inline=inline).where("d2 IS NOT NULL").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
-    return keep(groups.join(scale, "_g"), "mcd")
+    scale = _measured(rows, groups, inline=inline, how="inner").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
+    return keep(groups.join(scale, "_g"), "mcd", sweep=False)
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT, **fit: float) -> DataFrame:
@@ -201,7 +200,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     group = F.xxhash64(F.col(lang_col), F.col(source_col), F.col(lang_col).isNull(), F.col(source_col).isNull())
     rows = statistics(docs, text_col).drop(text_col).select("*", base_failed().alias("base_failed"), group.alias("_own"), pool.alias("_pool"), *vector())
     rows = keep(rows, "statistics")
-    large = keep(rows.where("NOT base_failed").groupBy("_own").agg(F.count("*").alias("n")).where(F.col("n") >= fit.get("least", LEAST)), "large")
+    large = keep(rows.where("NOT base_failed").groupBy("_own").agg(F.count("*").alias("n")).where(F.col("n") >= fit.get("least", LEAST)), "large", sweep=False)
     inline = fit.get("inline", INLINE)
     rows = _looked_up(rows, large, "_own", ["n"], inline).withColumn("_g", F.when(F.col("_e").isNull(), F.col("_pool")).otherwise(F.col("_own"))).drop("_e", "_own", "_pool")
     groups = estimates(rows.where("NOT base_failed").select("_g", *STATS), **fit)

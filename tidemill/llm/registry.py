@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontamination, html_text, jaccard_join, language, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from tidemill.llm import decontamination, hard_negatives, html_text, importance, jaccard_join, language, near_vectors, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 from tidemill.llm.common import documents, keep, remainder
 from tidemill.llm.oracles import ORACLES as ORACLES
 
@@ -84,3 +84,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0, label=label)
+
+
+@query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
