@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,11 @@ from tidemill.functions.money import charged, discounted
 from tidemill.operators.joins import asof_backward, band_join
 from tidemill.operators.quantiles import exact_quantile
 from tidemill.operators.ranking import ranks, top_k_by
+from tidemill.sources.scratch import shared_folder
 from tidemill.sources.tables import table
+from tidemill.streaming.attribution import interval_join
+from tidemill.streaming.late import triage
+from tidemill.streaming.state import funnel, instant, local, run_over
 from tidemill.streaming.windows import tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +164,74 @@ FROM (SELECT user_id, date_trunc('hour', max(ts)) AS last_seen FROM events GROUP
 def recency_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("t"))
     return ranks(e.select("user_id", F.date_trunc("hour", "t").cast("timestamp_ntz").alias("last_seen")), "last_seen", "user_id", tiles=10).select("user_id", "last_seen", "row_number", "rank", "ntile")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tidemill-{name}-{uuid.uuid4().hex}"
+
+
+def _streamed(e: DataFrame, days: int) -> DataFrame:
+    """Events with an instant in place of their time, and the slice in which they come."""
+    return e.withColumn("ts", instant("ts")).withColumn("slice", F.least(F.floor((F.dayofmonth("ts") - 1) / days), F.lit(30 // days - 1)).cast("int"))
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, ts, bit_or(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 ELSE 0 END) AS bits FROM events GROUP BY user_id, ts HAVING bits > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM e),
+s(user_id, i, began, step, last, gone_began, gone_step, gone_last, done_began, done_last) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::TIMESTAMP, 0, NULL::TIMESTAMP, NULL::TIMESTAMP, 0, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::TIMESTAMP FROM n
+  UNION ALL
+  SELECT user_id, i, CASE WHEN step2 = 3 THEN NULL ELSE began2 END, CASE WHEN step2 = 3 THEN 0 ELSE step2 END, last2,
+         CASE WHEN expired THEN began END, CASE WHEN expired THEN step END, CASE WHEN expired THEN last END, CASE WHEN step2 = 3 THEN began2 END, CASE WHEN step2 = 3 THEN last2 END
+  FROM (SELECT *, CASE WHEN idle THEN CASE WHEN bits & 1 = 1 THEN ts END ELSE began END AS began2,
+               CASE WHEN idle THEN CASE WHEN bits & 1 = 1 THEN 1 ELSE 0 END WHEN moves THEN step + 1 ELSE step END AS step2, CASE WHEN idle OR moves THEN ts ELSE last END AS last2
+        FROM (SELECT s.user_id, n.i, n.ts, n.bits, s.began, s.step, s.last, s.began IS NOT NULL AND n.ts - s.began > INTERVAL 6 HOUR AS expired, s.began IS NULL OR n.ts - s.began > INTERVAL 6 HOUR AS idle,
+                     n.ts > s.last AND (n.bits >> s.step) & 1 = 1 AS moves
+              FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1))),
+ended AS (
+  SELECT user_id, gone_began AS began, gone_step AS reached, gone_last AS last FROM s WHERE gone_began IS NOT NULL
+  UNION ALL SELECT user_id, done_began, 3, done_last FROM s WHERE done_began IS NOT NULL
+  UNION ALL SELECT user_id, began, step, last FROM s JOIN (SELECT user_id, max(i) AS i FROM n GROUP BY user_id) USING (user_id, i) WHERE began IS NOT NULL)
+SELECT user_id, began, reached, last, reached = 3 AS completed FROM ended""")
+def purchase_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _streamed(table(spark, sf_dir, "events").select("user_id", "ts", "event_type"), 15)
+    job = lambda s: funnel(s, "user_id", "ts", "event_type", ["view", "click", "purchase"], "6 hours", "1 hour")
+    return run_over(e, "ts", 2, job, _folder(spark, "funnel")).withColumns({c: local(c) for c in ("began", "last")})
+
+
+@query("""
+WITH r AS (
+  SELECT event_id, ts, false AS again, ts + CASE WHEN event_id % 17 = 5 THEN INTERVAL 4 DAY ELSE INTERVAL 0 DAY END AS comes FROM events
+  UNION ALL SELECT event_id, ts + INTERVAL 1 MINUTE, true, ts + INTERVAL 2 HOUR FROM events WHERE event_id % 10 = 3),
+b AS (SELECT *, least(date_diff('day', TIMESTAMP '2024-01-01', comes) // 10, 2) AS slice FROM r),
+m AS (SELECT slice + 1 AS slice, max(max(ts)) OVER (ORDER BY slice) - INTERVAL 1 DAY AS mark FROM b GROUP BY slice),
+v AS (SELECT b.*, coalesce(ts <= date_trunc('milliseconds', mark), false) AS late FROM b LEFT JOIN m USING (slice))
+SELECT event_id, ts, again, CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY event_id, late ORDER BY slice, ts) = 1 THEN 'kept' ELSE 'repeated' END AS verdict FROM v""")
+def event_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some events come four days after their time, some twice; each row of the stream gets its verdict."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    late = F.when(F.col("event_id") % 17 == 5, F.expr("interval 4 days")).otherwise(F.expr("interval 0 days"))
+    first = e.withColumns({"again": F.lit(False), "comes": F.col("ts") + late})
+    second = e.where("event_id % 10 = 3").select("event_id", (F.col("ts") + F.expr("interval 1 minute")).alias("ts"), F.lit(True).alias("again"), (F.col("ts") + F.expr("interval 2 hours")).alias("comes"))
+    slices = F.least(F.floor(F.datediff("comes", F.lit("2024-01-01")) / 10), F.lit(2)).cast("int")
+    rows = first.unionByName(second).withColumn("slice", slices).drop("comes").withColumn("ts", instant("ts"))
+    job = lambda s: triage(s, "event_id", "ts", "1 day", "7 days")
+    return run_over(rows, "ts", 3, job, _folder(spark, "verdicts")).where("event_id IS NOT NULL").withColumn("ts", local("ts"))
+
+
+@query("""
+SELECT v.event_id, v.user_id, v.ts, p.event_id AS next_event_id, p.ts AS next_ts, p.value AS next_value
+FROM (SELECT * FROM events WHERE event_type = 'view') v
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON p.user_id = v.user_id AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 12 HOUR""")
+def view_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each view with the purchases of its user in the next twelve hours, by a join of two streams."""
+    e = _streamed(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value"), 15)
+
+    def job(s: DataFrame) -> DataFrame:
+        views = s.where("event_type = 'view' OR event_type IS NULL").select("event_id", "user_id", "ts")
+        purchases = s.where("event_type = 'purchase' OR event_type IS NULL").select("event_id", "user_id", "ts", "value")
+        return interval_join(views, purchases, "user_id", "ts", "12 hours", "1 hour")
+
+    found = run_over(e, "ts", 2, job, _folder(spark, "attribution")).where("event_id IS NOT NULL")
+    return found.withColumns({c: local(c) for c in ("ts", "next_ts")})
