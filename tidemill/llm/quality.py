@@ -107,21 +107,21 @@ def vector() -> list[Column]:
         F.log(n.cast("double")), F.log((F.col("word_chars") + 1) / n) * 4, F.log1p(F.col("n_symbols") * 100 / n), F.log1p(F.col("n_dup_lines") * 100 / n), F.log1p(F.col("n_repeat_words") * 100 / n)), strict=True)]
 
 
-def _looked_up(rows: DataFrame, groups: DataFrame, key: str, values: list[str], inline: int = INLINE, how: str = "left") -> DataFrame:
-    """``rows`` with the values of their group as the array ``_e``; without one null, or no row where ``how`` is inner. ``groups`` is a kept table with a row for each key."""
+def _looked_up(rows: DataFrame, groups: DataFrame, key: str, values: list[str], small: bool, how: str = "left") -> DataFrame:
+    """``rows`` with the values of their group as the array ``_e``; without one null, or no row where ``how`` is inner. ``groups`` has a row for each key; ``small``: few enough to broadcast."""
     each = groups.select(key, F.array(*[F.col(c).cast("double") for c in values]).alias("_e"))
-    if groups.count() <= inline:
+    if small:
         return rows.join(F.broadcast(each), key, how).select(*rows.columns, "_e")
     salts = 1 + rows.count() // PER_SALT
     each = each.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).join(each, [key, "_s"], how).select(*rows.columns, "_e")
 
 
-def _measured(rows: DataFrame, groups: DataFrame, more: tuple[str, ...] = (), inline: int = INLINE, how: str = "left") -> DataFrame:
+def _measured(rows: DataFrame, groups: DataFrame, more: tuple[str, ...] = (), small: bool = True, how: str = "left") -> DataFrame:
     """``rows`` with ``d2`` from the estimate of their group, null without one, and what ``more`` names of that."""
     names = [*_PARTS, *more]
     e = {c: F.col("_e")[i] for i, c in enumerate(names)}
-    out = _looked_up(rows, groups, "_g", names, inline, how)
+    out = _looked_up(rows, groups, "_g", names, small, how)
     off = F.array(*[F.col(x) - e[f"m{i}"] for i, x in enumerate(STATS)])
     turned = lambda u: F.array(*[reduce(Column.__add__, [e[f"w{i}{k}"] * u[k] for k in range(i + 1)]) for i in range(len(STATS))])
     d2 = F.aggregate(let(off, turned), F.lit(0.0), lambda a, z: a + z * z)
@@ -164,32 +164,36 @@ def _starts(rows: DataFrame, least: int) -> list[DataFrame]:
     return [diagonal(spread), diagonal(lambda i: F.lit(1.0)), whole]
 
 
-def _step(rows: DataFrame, groups: DataFrame, h: float, inline: int) -> DataFrame:
+def _step(rows: DataFrame, groups: DataFrame, h: float, small: bool) -> DataFrame:
     """Each estimate refitted to the ``h`` part of its group's rows that are nearest to it."""
-    near = _measured(rows, groups, inline=inline, how="inner")
+    near = _measured(rows, groups, small=small, how="inner")
     cut = near.groupBy("_g").agg(F.percentile_approx("d2", h, 1000).alias("cut"))
-    cut = keep(cut, "cut", sweep=False)
-    return keep(_estimate(_looked_up(near, cut, "_g", ["cut"], inline, "inner").where(F.col("d2") <= F.col("_e")[0])), "mcd", sweep=False)
+    return keep(_estimate(_looked_up(near, cut, "_g", ["cut"], small, "inner").where(F.col("d2") <= F.col("_e")[0])), "mcd", sweep=False)
 
 
 def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST, inline: int = INLINE) -> DataFrame:
     """The groups' estimates from rows of ``_g`` and ``STATS``, with the ``scale`` of squared distances."""
-    tried = []
-    for t, groups in enumerate(_starts(rows, least)):
-        for _ in range(TRIAL):
-            groups = _step(rows, groups, h, inline)
-        tried.append(groups.withColumn("_t", F.lit(t)))
+    starts = _starts(rows, least)
+    small = len(starts) * starts[-1].count() <= inline
+    # All starts are tried at once, each as a group of its own.
+    of = lambda t: F.xxhash64("_g", F.lit(t))
+    groups = keep(reduce(DataFrame.unionByName, [g.withColumn("_g", of(t)) for t, g in enumerate(starts)]), "starts", sweep=False)
+    every = rows.select(F.explode(F.array(*[of(t) for t in range(len(starts))])).alias("_g"), *STATS)
+    for _ in range(TRIAL):
+        groups = _step(every, groups, h, small)
+    names = reduce(DataFrame.unionByName, [starts[-1].select("_g", of(t).alias("_try"), F.lit(t).alias("_t")) for t in range(len(starts))])
     best = F.min_by(F.struct("det", *_PARTS), F.struct("det", "_t")).alias("best")
-    groups = keep(reduce(DataFrame.unionByName, tried).groupBy("_g").agg(best).select("_g", "best.*"), "mcd", sweep=False)
+    tried = groups.withColumnRenamed("_g", "_try").join(names, "_try")
+    groups = keep(tried.groupBy("_g").agg(best).select("_g", "best.*"), "mcd", sweep=False)
     for _ in range(steps - TRIAL):
-        before, groups = groups, _step(rows, groups, h, inline)
+        before, groups = groups, _step(rows, groups, h, small)
         both = before.select("_g", "det").unionByName(groups.select("_g", "det")).groupBy("_g").agg((F.max("det") - F.min("det")).alias("moved"))
         moved = both.agg(F.max("moved")).first()[0]
         forget(before)
         if moved is None or moved < SETTLED:
             break
     groups = groups.select("_g", *_PARTS)
-    scale = _measured(rows, groups, inline=inline, how="inner").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
+    scale = _measured(rows, groups, small=small, how="inner").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
     return keep(groups.join(scale, "_g"), "mcd", sweep=False)
 
 
@@ -202,8 +206,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     rows = keep(rows, "statistics")
     large = keep(rows.where("NOT base_failed").groupBy("_own").agg(F.count("*").alias("n")).where(F.col("n") >= fit.get("least", LEAST)), "large", sweep=False)
     inline = fit.get("inline", INLINE)
-    rows = _looked_up(rows, large, "_own", ["n"], inline).withColumn("_g", F.when(F.col("_e").isNull(), F.col("_pool")).otherwise(F.col("_own"))).drop("_e", "_own", "_pool")
+    rows = _looked_up(rows, large, "_own", ["n"], large.count() <= inline).withColumn("_g", F.when(F.col("_e").isNull(), F.col("_pool")).otherwise(F.col("_own"))).drop("_e", "_own", "_pool")
     groups = estimates(rows.where("NOT base_failed").select("_g", *STATS), **fit)
-    out = _measured(rows, groups, ("scale",), inline)
+    out = _measured(rows, groups, ("scale",), groups.count() <= inline)
     out = out.withColumn("d2", F.col("d2") / F.col("scale")).drop("scale", "_g", *STATS)
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit))
