@@ -52,7 +52,7 @@ def sample(rows: DataFrame, n: int, *by: str) -> DataFrame:
 
 def centroids(rows: DataFrame, vector: str, n: int, cells: int | None = None) -> np.ndarray:
     """Centroids of k-means on a kept sample of a table of ``n`` rows, about its square root of them."""
-    k = max(1, min(cells or CELLS, int(n**0.5)))
+    k = max(2, min(cells or CELLS, int(n**0.5)))  # Spark wants two; it finds fewer where there are fewer vectors
     fitted = KMeans(k=k, maxIter=8, seed=7, initSteps=2).fit(rows.select(array_to_vector(vector).alias("features")))
     return np.array(fitted.clusterCenters(), dtype=np.float64)
 
