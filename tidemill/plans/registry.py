@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.money import charged, discounted
+from tidemill.functions.tables import register
 from tidemill.operators import ordered, sketches
 from tidemill.operators.joins import asof_backward, band_join
 from tidemill.operators.overlap import overlap_join
@@ -19,6 +20,7 @@ from tidemill.sources.scratch import shared_folder
 from tidemill.sources.tables import table
 from tidemill.streaming.attribution import interval_join
 from tidemill.streaming.late import triage
+from tidemill.streaming.sink import current, upsert
 from tidemill.streaming.state import funnel, instant, local, run_over
 from tidemill.streaming.windows import tumbling
 
@@ -316,3 +318,51 @@ def last_error_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = e.where("event_type <> 'error'").select("event_id", "event_type", "ts", "one"), e.where("event_type = 'error'").select("one", "ts", "event_id", "value")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return asof_backward(left, right, "one", "ts", ["event_id", "value"], parts=parts).drop("ts", "one")
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT user_id, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s(user_id, i, low_id, low, high_id, high, rising, out_id, out_value, kind) AS (
+  SELECT user_id, i, event_id, x, event_id, x, NULL::BOOLEAN, NULL::BIGINT, NULL::DOUBLE, NULL::VARCHAR FROM n WHERE i = 1
+  UNION ALL
+  SELECT user_id, i, CASE WHEN falls OR (NOT coalesce(rising, false) AND x < low) THEN event_id ELSE low_id END, CASE WHEN falls OR (NOT coalesce(rising, false) AND x < low) THEN x ELSE low END,
+         CASE WHEN rises OR (coalesce(rising, true) AND x > high) THEN event_id ELSE high_id END, CASE WHEN rises OR (coalesce(rising, true) AND x > high) THEN x ELSE high END,
+         CASE WHEN rises THEN true WHEN falls THEN false ELSE rising END, CASE WHEN rises THEN low_id WHEN falls THEN high_id END, CASE WHEN rises THEN low WHEN falls THEN high END,
+         CASE WHEN rises THEN 'low' WHEN falls THEN 'high' END
+  FROM (SELECT *, up AS rises, down AND NOT up AS falls FROM (
+    SELECT s.user_id, n.i, n.event_id, n.x, s.low_id, s.low, s.high_id, s.high, s.rising,
+           NOT coalesce(s.rising, false) AND n.x >= s.low * 1.5::DOUBLE AS up, coalesce(s.rising, true) AND n.x <= s.high * 0.5::DOUBLE AS down
+    FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1)))
+SELECT user_id, out_id AS event_id, out_value AS value, kind FROM s WHERE kind IS NOT NULL
+UNION ALL SELECT user_id, CASE WHEN rising THEN high_id ELSE low_id END, CASE WHEN rising THEN high ELSE low END, CASE WHEN rising THEN 'high' ELSE 'low' END
+FROM s JOIN (SELECT user_id, max(i) AS i FROM n GROUP BY user_id) USING (user_id, i) WHERE rising IS NOT NULL""")
+def value_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highs and lows of each user's values that swing by half, by a table function in SQL."""
+    register(spark)
+    found = spark.sql("SELECT * FROM turning_points(0.5D, TABLE(SELECT user_id, event_id, value FROM {events}) PARTITION BY user_id ORDER BY event_id)", events=table(spark, sf_dir, "events"))
+    return found.select(F.col("key").alias("user_id"), F.col("at").alias("event_id"), "value", "kind")
+
+
+@query("""
+WITH e AS (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS w FROM events),
+c AS (SELECT user_id, value, sum(w) OVER (PARTITION BY user_id ORDER BY value) AS upto, sum(w) OVER (PARTITION BY user_id) AS total FROM e WHERE w > 0)
+SELECT user_id, min(value) AS middle FROM c WHERE upto >= total / 2 GROUP BY user_id""")
+def weighted_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's median value weighted by a property, by an Arrow aggregate in SQL."""
+    register(spark)
+    return spark.sql(
+        "SELECT user_id, weighted_median(value, w) AS middle FROM (SELECT user_id, value, CAST(get_json_object(props, '$.k') AS DOUBLE) AS w FROM {events}) WHERE w > 0 GROUP BY user_id",
+        events=table(spark, sf_dir, "events"))
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, kept up to date by a stream into a table that takes a batch twice."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    folder, schema = _folder(spark, "latest"), "user_id long, event_id long, event_type string, ts timestamp_ntz"
+    write = upsert(f"{folder}/table", "user_id", "event_id", buckets=4)
+    for half in (0, 1):
+        e.where(F.floor((F.dayofmonth("ts") - 1) / 16) == half).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in").writeStream.foreachBatch(write).trigger(availableNow=True)
+        stream.option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return current(spark, f"{folder}/table", schema)
