@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators.joins import asof_backward, band_join
 from tidemill.operators.quantiles import exact_quantile
@@ -41,6 +42,14 @@ def test_exact_quantile_against_brute_force(spark, p):
         assert p != 0.5 or got[k] == pytest.approx(statistics.median(v))
 
 
+def test_quantile_of_a_value_that_most_rows_share(spark):
+    """The window ranks distinct values, not the rows that share one."""
+    df = spark.range(0, 40_000, 1, 4).select(F.lit("k").alias("k"), F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    got = exact_quantile(df, "k", "v", 0.5)
+    assert got.first().quantile == 5.0
+    assert "row_number" not in got._jdf.queryExecution().toString()
+
+
 def test_days_do_not_depend_on_the_session_zone(spark, sf_dir):
     here = sorted(map(tuple, events_by_day(spark, sf_dir).collect()))
     zone = spark.conf.get("spark.sql.session.timeZone")
