@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.money import charged, discounted
 from tidemill.functions.tables import register
+from tidemill.functions.variants import elements, typed
 from tidemill.operators import ordered, sketches
 from tidemill.operators.joins import asof_backward, band_join
 from tidemill.operators.overlap import overlap_join
@@ -366,3 +367,23 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in").writeStream.foreachBatch(write).trigger(availableNow=True)
         stream.option("checkpointLocation", f"{folder}/state").start().awaitTermination()
     return current(spark, f"{folder}/table", schema)
+
+
+@query("""
+WITH p AS (SELECT event_id, event_type, props, json_extract_string(props, '$.k') AS k FROM events),
+r AS (
+  SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || k || '", "tags": ["' || event_type || '", "x"]}' WHEN 2 THEN '{"k": {"v": ' || k || '}, "tags": []}' ELSE '{"k": ' || k END AS raw FROM p),
+v AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM r)
+SELECT event_type, count(*) AS n, count(*) FILTER (j IS NULL) AS n_bad, sum(TRY_CAST(json_extract_string(j, '$.k') AS DOUBLE)) AS sum_k, sum(TRY_CAST(json_extract_string(j, '$.k.v') AS DOUBLE)) AS sum_deep,
+       CAST(sum(coalesce(json_array_length(j, '$.tags'), 0)) AS BIGINT) AS n_tags, count(*) FILTER (json_extract_string(j, '$.tags[0]') = event_type) AS n_own
+FROM v GROUP BY event_type""")
+def ragged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of four shapes, one of them cut off, as typed columns and as rows of their tags."""
+    k = F.get_json_object("props", "$.k")
+    shapes = [F.col("props"), F.concat(F.lit('{"k": "'), k, F.lit('", "tags": ["'), "event_type", F.lit('", "x"]}')), F.concat(F.lit('{"k": {"v": '), k, F.lit('}, "tags": []}')), F.concat(F.lit('{"k": '), k)]
+    pick = F.when(F.col("event_id") % 4 == 0, shapes[0]).when(F.col("event_id") % 4 == 1, shapes[1]).when(F.col("event_id") % 4 == 2, shapes[2]).otherwise(shapes[3])
+    raw = table(spark, sf_dir, "events").select("event_type", pick.alias("raw"))
+    columns = typed(raw, "raw", {"k": ("$.k", "double"), "deep": ("$.k.v", "double")}).groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_if("is_bad").alias("n_bad"), F.sum("k").alias("sum_k"), F.sum("deep").alias("sum_deep"))
+    tags = elements(raw, "raw", "$.tags").groupBy("event_type").agg(F.count("*").alias("n_tags"), F.count_if(F.try_variant_get("value", "$", "string") == F.col("event_type")).alias("n_own"))
+    return columns.join(tags, "event_type", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tags", "n_own")})
