@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemill.llm import suffix_dedup as d
@@ -73,6 +74,30 @@ def test_dedup_equals_brute_force(spark, per_range, fan):
         assert sum(w[3] for w in want) > 2000
 
 
+@pytest.mark.parametrize("size", [1, 16])
+def test_slots_that_grams_share_change_nothing(spark, monkeypatch, size):
+    """Tables so small that every gram gets the ranges of the largest, or many do."""
+    monkeypatch.setattr(d, "SLOTS_LEAST", 1)
+    monkeypatch.setattr(d, "SLOTS_MOST", size)
+    texts = made(5, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in d.dedup(df, width=60, gram=16, per_range=5, fan=8).collect()}
+    assert got == dict(enumerate(brute(texts, 60)))
+
+
+def test_ranges_of_a_gram_are_enough(spark):
+    """The lesser slot is never below what a gram needs; without hot grams all slots are 0."""
+    rng = random.Random(8)
+    grams = [(rng.getrandbits(64) - (1 << 63), rng.choice([2, 9, 10, 11, 80, 81, 5000])) for _ in range(400)]
+    df = spark.createDataFrame(grams, "h long, n long").repartition(3)
+    tables = d._ranges(df, 10)
+    for h, n in grams:
+        order = int(d._mixed(np.array([h], dtype=np.int64).view(np.uint64) + np.uint64(3))[0])
+        log = min(t[s] for t, s in zip(tables, d._slots(order, len(tables[0])), strict=True))
+        assert (1 << log) * 10 >= n and (n > 10 or log == 0 or log <= 9)
+    assert not any(map(any, d._ranges(df, 10_000)))
+
+
 def test_empty_table(spark):
     assert d.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -15,8 +15,10 @@ exchange and decides nothing.
 content, then by a tie-break. All that matters stands together as in an order by content
 alone, and equal ranges of the hash hold about equally many suffixes, so ranges need no sample and
 their number just grows with the input. A gram with more than ``per_range``
-suffixes has ranges of its own, to which the tie-break deals them; there are at most as
-many such grams as ranges, and a row for each is all that goes to the driver.
+suffixes has ranges of its own, to which the tie-break deals them. How many is a power of
+two, held by hash in two tables of ``SLOTS_MOST`` bytes at most, which do not grow further: the
+lesser of a gram's two slots counts. Grams that share both slots with a larger one get
+more ranges than they need, which costs a few small parts and changes no result.
 
 *Sorting.* Each task sorts its suffixes into runs and cuts them at the ranges. The
 parts are front-coded (each suffix as the length of the prefix shared with the one
@@ -54,6 +56,7 @@ RUN = 50_000
 RANGE = 20_000
 FAN = 1 << 9
 BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 29
+SLOTS_LEAST, SLOTS_MOST = 1 << 12, 1 << 23
 
 _BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _CHUNK = 1 << 22
@@ -255,8 +258,31 @@ def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
     return [_mixed(h + np.uint64(k)) % np.uint64(size) for k in (1, 2)]
 
 
-def _shared_grams(rows: DataFrame, width: int, gram: int, per_range: int) -> tuple[np.ndarray, int, dict[bytes, int]]:
-    """The filter of grams at two anchors or more, how many anchors have one, and by order hash the grams with more than one range and their ranges."""
+def _slots(order: int, size: int) -> tuple[int, int]:
+    """A gram's places in the two tables, ``size`` a power of two, from its order hash."""
+    return order & (size - 1), (order >> 32) & (size - 1)
+
+
+def _ranges(found: DataFrame, per_range: int) -> list[bytes]:
+    """Two tables by slot: the logarithm of how many ranges a gram with that slot needs, 0 where none needs more than one."""
+    many = found.where(F.col("n") > per_range)
+    size = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (256 * many.count()).bit_length()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = _mixed(b.column(0).to_numpy().view(np.uint64) + np.uint64(3)).tolist()
+            log = [(-(-n // per_range) - 1).bit_length() for n in b.column(1).to_pylist()]
+            at = [t * size + s for o in order for t, s in enumerate(_slots(o, size))]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.repeat(log, 2), pa.int64())], ["at", "log"])
+
+    tables = np.zeros(2 * size, dtype=np.uint8)
+    slots = many.select("h", "n").mapInArrow(placed, "at long, log long").groupBy("at").agg(F.max("log").alias("log")).toArrow()
+    tables[slots.column("at").to_numpy()] = slots.column("log").to_numpy()
+    return [tables[:size].tobytes(), tables[size:].tobytes()]
+
+
+def _shared_grams(rows: DataFrame, width: int, gram: int, per_range: int) -> tuple[np.ndarray, int, list[bytes]]:
+    """The filter of grams at two anchors or more, how many anchors have one, and the tables of grams with more than one range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,7 +293,7 @@ def _shared_grams(rows: DataFrame, width: int, gram: int, per_range: int) -> tup
 
     found = keep(rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "grams")
     kinds, total = found.agg(F.count("*"), F.sum("n")).first()
-    hot = {_mixed(np.array([r.h], dtype=np.int64).view(np.uint64) + np.uint64(3)).astype(">u8").tobytes(): -(-r.n // per_range) for r in found.where(F.col("n") > per_range).collect()}
+    hot = _ranges(found, per_range)
     size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * kinds).bit_length()))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,13 +311,14 @@ _PARTS = pa.schema([("bucket", pa.int64()), ("sub", pa.int32()), ("heads", pa.bi
 _PARTS_DDL = "bucket long, sub int, heads binary, rests binary, lefts binary"
 
 
-def _cut(entries: list[tuple[bytes, tuple]], depth: int, hot: dict[bytes, int]) -> pa.RecordBatch:
+def _cut(entries: list[tuple[bytes, tuple]], depth: int, hot: list[bytes] | None) -> pa.RecordBatch:
     """A sorted run cut at the ranges of its order hash's first ``depth`` bits; ``sub`` counts the ranges of a hot gram from 1."""
+    size = len(hot[0]) if hot else 0
     parts: dict[tuple[int, int], list[tuple[bytes, tuple]]] = {}
     for e in entries:
         order = int.from_bytes(e[0][:8], "big")
-        if several := hot.get(e[0][:8]):
-            key = (order - (1 << 63), 1 + int.from_bytes(e[0][-8:], "big") % several)
+        if hot and (log := min(t[s] for t, s in zip(hot, _slots(order, size), strict=True))):
+            key = (order - (1 << 63), 1 + (int.from_bytes(e[0][-8:], "big") & ((1 << log) - 1)))
         else:
             key = (order >> (64 - depth), 0)
         parts.setdefault(key, []).append(e)
@@ -325,7 +352,7 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_range: in
             n, at = 0, None
 
             def sent() -> pa.RecordBatch:
-                return _cut([(s, payload) for _, s, payload in merge([decoded(*x) for x in held])], level, {})
+                return _cut([(s, payload) for _, s, payload in merge([decoded(*x) for x in held])], level, None)
 
             for b in batches:
                 for bucket, _, *part in zip(*(c.to_pylist() for c in b.columns), strict=True):
