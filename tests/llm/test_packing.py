@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemill.llm import packing, token_counts
@@ -120,3 +121,5 @@ def test_one_row_repeated_is_dealt_to_all_tasks(spark):
     out = packing.pack(df, target=1000)
     fill = out.groupBy("sequence_id").count().groupBy("count").count().collect()
     assert {r[0]: r[1] for r in fill} == {3: 10_000}
+    placed = out.groupBy("sequence_id").agg(F.array_sort(F.collect_list("offset")).alias("offsets")).select("offsets").distinct().collect()
+    assert [r.offsets for r in placed] == [[0, 340, 680]]

@@ -36,8 +36,9 @@ TARGET = 16_000
 STALE = 3
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_BIN = pa.schema([("fill", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(_PIECE))])
-_BIN_DDL = "fill long, done boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
+_MEMBER = pa.struct([*_PIECE, ("offset", pa.int64())])
+_BIN = pa.schema([("fill", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(_MEMBER))])
+_BIN_DDL = "fill long, done boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -88,6 +89,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _placed(members: pa.StructArray, ends: np.ndarray) -> pa.StructArray:
+    """Members of bins, end to end, with their offsets in their bins; ``ends`` are the bins' borders among them."""
+    before = np.cumsum([0, *members.field("length").to_numpy()])
+    offset = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
+    return pa.StructArray.from_arrays([*(members.field(f.name) for f in _PIECE), pa.array(offset, pa.int64())], fields=list(_MEMBER))
+
+
 def _round(bins: DataFrame, capacity: int, nearly_full: float, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -100,7 +108,7 @@ def _round(bins: DataFrame, capacity: int, nearly_full: float, last: bool) -> Da
             taken = members.take(order)
             offsets = np.cumsum([0, *taken.value_lengths().to_pylist()])[np.cumsum([0, *map(len, part)])]
             full = np.array([sum(fill[i] for i in p) for p in part], dtype="int64")
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken.flatten())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _placed(taken.flatten(), offsets))
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array((full >= nearly_full * capacity) | last), lists], schema=_BIN)
 
     return bins.mapInArrow(run, _BIN_DDL)
@@ -109,7 +117,7 @@ def _round(bins: DataFrame, capacity: int, nearly_full: float, last: bool) -> Da
 def pack(parts: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL, target: int = TARGET) -> DataFrame:
     """Pieces dealt to sequences: ``sequence_id`` and the ``offset`` in it beside the pieces' columns."""
     parts = keep(parts, "pieces")
-    item = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
+    item = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     alone = parts.where(F.col("length") == capacity).select(F.array(item).alias("members"))
     left = parts.where(F.col("length") < capacity).select(F.col("length").alias("fill"), F.lit(False).alias("done"), F.array(item).alias("members"))
     finished, n, stale = [alone], left.count(), 0
@@ -130,9 +138,5 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
-    placed = F.transform(
-        "members",
-        lambda m, i: F.struct(m["doc_id"], m["piece"], m["start"], m["length"], m["ids_crc32"], F.aggregate(F.slice("members", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("offset")),
-    )
-    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), placed.alias("placed"))
-    return numbered.select("sequence_id", F.inline("placed")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+    return numbered.select("sequence_id", F.inline("members")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
