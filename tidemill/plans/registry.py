@@ -17,6 +17,7 @@ from tidemill.operators.overlap import overlap_join
 from tidemill.operators.quantiles import exact_quantile
 from tidemill.operators.ranking import ranks, top_k_by
 from tidemill.operators.regression import linear
+from tidemill.sources import logs
 from tidemill.sources.scratch import shared_folder
 from tidemill.sources.tables import table
 from tidemill.streaming.attribution import interval_join
@@ -387,3 +388,17 @@ def ragged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.count_if("is_bad").alias("n_bad"), F.sum("k").alias("sum_k"), F.sum("deep").alias("sum_deep"))
     tags = elements(raw, "raw", "$.tags").groupBy("event_type").agg(F.count("*").alias("n_tags"), F.count_if(F.try_variant_get("value", "$", "string") == F.col("event_type")).alias("n_own"))
     return columns.join(tags, "event_type", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tags", "n_own")})
+
+
+@query("""
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, round(sum(value), 4) AS total FROM events
+WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-17' AND event_type <> 'click' GROUP BY ALL""")
+def logged_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of events from log files of all days, of which a source of the Data Source API opens that week's alone."""
+    logs.register(spark)
+    e, folder = table(spark, sf_dir, "events"), _folder(spark, "logs")
+    for batch in (0, 1):
+        logs.write(e.where(F.col("event_id") % 2 == batch), folder, batch, "ts", "ts", "event_type", "user_id", "value")
+    read = spark.read.format(logs.NAME).schema("day date, event_type string, user_id long, value double").load(folder)
+    week = read.where("day >= DATE'2024-01-10' AND day < DATE'2024-01-17' AND event_type <> 'click'")
+    return week.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"), F.round(F.sum("value"), 4).alias("total"))
