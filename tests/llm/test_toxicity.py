@@ -22,7 +22,9 @@ def test_label_model_recovers_accuracies_and_correlations():
     for _ in range(15):
         p = m.posterior([list(np.flatnonzero(f)) for f in fire])
         pairs = np.stack([(fire * q[:, None]).T @ fire for q in (p, 1 - p)])
-        m.refit(pairs, np.array([p.sum(), (1 - p).sum()]))
+        n, (i, j) = np.array([p.sum(), (1 - p).sum()]), np.triu_indices(5, 1)
+        m.refit(np.stack([np.diag(x) for x in pairs]), n)
+        m.reweigh(m.correlated(i, j, pairs[0][i, j], n[0]))
     assert np.allclose(m.toxic[:3], toxic[:3], atol=0.08) and abs(m.prior - 0.2) < 0.04
     assert m.weight[3] == pytest.approx(0.5, abs=0.1) and m.weight[0] > 0.7
 
@@ -48,6 +50,57 @@ def test_numbers_of_voters(spark):
     assert got[3] == ([3, 9], [2]) and got[4] == ([0], [0])
 
 
+def test_rounds_with_a_thousand_voters_equal_dense_tables(spark, monkeypatch):
+    """No voter is cut, and sums sent in many parts, also amid a text, are those of the whole tables."""
+    monkeypatch.setattr(t, "PAIRS", 500)
+    rng = np.random.default_rng(3)
+    size, n = 1_000, 400
+    y = rng.random(n) < 0.3
+    fire = rng.random((n, size)) < np.where(y[:, None], 0.04, 0.01)
+    fire[0, :300] = True  # one very long text
+    fire[1] = False
+    known = [None if rng.random() < 0.5 else int(v) for v in y]
+    rows = [([int(v) for v in np.flatnonzero(f)], k, int(c)) for f, k, c in zip(fire, known, rng.integers(1, 4, n), strict=True)]
+    patterns = spark.createDataFrame(rows, "fired array<long>, y int, n long").repartition(3)
+    got, want = (t.LabelModel(np.full(size, 0.05), np.full(size, 0.02), 0.25) for _ in range(2))
+    x, count = fire.astype(float), np.array([c for *_, c in rows], float)
+    for _ in range(3):
+        t._refit(patterns, got)
+        p = want.posterior([f for f, *_ in rows])
+        p = np.array([q if k is None else k for q, k in zip(p, known, strict=True)])
+        shares = np.stack([count * p, count * (1 - p)])
+        rate = [(s @ x + c) / (s.sum() + 1) for s, c in zip(shares, (0.01, 0.001), strict=True)]
+        want.toxic, want.clean, want.prior = *(np.clip(r, 1e-6, 1 - 1e-6) for r in rate), shares[0].sum() / count.sum()
+        a = want.toxic
+        corr = ((x * shares[0][:, None]).T @ x / shares[0].sum() - np.outer(a, a)) / np.sqrt(np.outer(a * (1 - a), a * (1 - a)))
+        corr = np.clip(corr, 0, 1)
+        np.fill_diagonal(corr, 0)
+        want.weight = 1 / (1 + corr.sum(axis=1))
+        for name in ("toxic", "clean", "prior", "weight"):
+            assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-8), name
+
+
+def test_entries_and_voters_are_in_shares_of_the_toxic_texts(spark, monkeypatch):
+    rows = [(i, "calm day") for i in range(40)] + [(100 + i, f"vile{' odd' if i < 6 else ''}") for i in range(30)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    found = lambda: (lambda x: (list(x.index), x.voters))(t.learn(docs, labels))
+    assert found() == (["vile", "odd"], 2)
+    monkeypatch.setattr(t, "COVERAGE", 0.25)
+    assert found() == (["vile", "odd"], 1)
+    monkeypatch.setattr(t, "SHARE", 0.25)
+    assert found() == (["vile"], 1)
+
+
+def test_no_number_of_voters_is_set(spark):
+    spell = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03d}")
+    some = [spell(k) for k in range(400)]
+    rows = [(i, "calm day") for i in range(60)] + [(100 + i, " ".join(some)) for i in range(8)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    model = t.train(docs, labels)
+    assert set(model.index) == set(some) and model.lexicon.voters == 400
+    assert {r.doc_id for r in t.score(docs, model).where("score >= 0.5").collect()} == set(range(100, 108))
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "you vile worm", 5), (3, "you vile worm", 5), (None, "fine day " * 50_000, 5)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 *Voters.* Words and word beginnings that labelled toxic texts hold far more
-often than labelled clean ones form the lexicon; each is a voter that fires on
-texts with it. A few fixed patterns (shouting, runs of ``!`` or ``?``,
+often than labelled clean ones form the lexicon; each that a share of ``COVERAGE`` or more of
+the labelled toxic texts holds is a voter that fires on texts with it. A few fixed patterns (shouting, runs of ``!`` or ``?``,
 second-person address next to ``are``) vote as well, and so do the numbers of
 words from the lexicon: none, two or more, three or more.
 
@@ -11,7 +11,10 @@ toxic and on clean texts. Expectation maximisation over all training rows,
 labelled or not, estimates them and the share of toxic texts; labels give the
 starting point and hold their own rows in place. Voters that fire together beyond what the label explains are
 correlated; each voter's evidence is divided by one plus the sum of its
-correlations, so a word and its beginnings count once.
+correlations, so a word and its beginnings count once. Only pairs of voters that
+fire in a same text are ever written down, so there is no table of all pairs; a
+text with k voters adds k * (k - 1) / 2 to the sums of its task, which are sent
+on when a task holds ``PAIRS`` of them.
 
 *Classifier.* Logistic regression on the lexicon is fitted to the posterior
 labels of a sample of at most about ``MAX_ROWS`` training rows. Its output is
@@ -23,10 +26,11 @@ each holds of it. All fitting and scoring works on those lists of numbers. Up to
 they are; more of them meet the texts in a sort-merge join.
 
 Every token of labelled texts is counted, toxic and clean texts side by side, in
-one distributed aggregation. Those in ``least`` toxic texts or more whose log
-ratio passes ``LIFT`` are the lexicon, all of them: nothing is cut by frequency
-or rank, so the lexicon that is broadcast grows with the number of telling
-tokens. Voters are its first ``VOTERS`` entries, and the classifier's rows are
+one distributed aggregation. Those in ``least`` toxic texts or more, and in a share of ``SHARE`` or
+more of the toxic ones, whose log ratio passes ``LIFT`` are the lexicon, all of
+them: nothing is cut by rank. By that share it has at most ``1 / SHARE`` times as
+many entries as a toxic text has tokens in the mean, however many texts there are; this is
+what bounds the broadcast lexicon, and ``COVERAGE`` bounds the voters in the same way. No number of voters is set. The classifier's rows are
 bounded by ``MAX_ROWS``; counts cover all training rows. Null texts are empty and get the
 score of a text in which nothing fires. Without both kinds of labels every
 score is the labelled share of toxic rows (0 without labels). Labels that are
@@ -51,9 +55,12 @@ from tidemill.llm.common import forget, keep
 #: Tokens that a task counts before it sends what it has.
 ROOM = 200_000
 FEW = 500_000
-VOTERS = 300
 MAX_ROWS = 50_000
 LEAST = 5
+SHARE = 1e-4
+COVERAGE = 0.04
+#: Pairs of voters whose sums a task holds before it sends them.
+PAIRS = 1_000_000
 LIFT = 2.0
 ROUNDS = 6
 BEGINNINGS = range(4, 9)
@@ -87,7 +94,7 @@ class Lookup(dict):
 
 @dataclass
 class Lexicon:
-    """Entries with their numbers, most telling first; how many texts are labelled clean and toxic; how many entries vote."""
+    """Entries with their numbers, voters before others and the more telling first; how many texts are labelled clean and toxic; how many entries vote."""
 
     index: dict[str, int]
     labelled: tuple[int, int]
@@ -180,44 +187,104 @@ class LabelModel:
         base, add = self.evidence()
         return 1 / (1 + np.exp(-np.clip([base + add[f].sum() for f in fired], -50, 50)))
 
-    def refit(self, pairs: np.ndarray, n: np.ndarray) -> None:
-        """From expected counts of voters firing together (themselves on the diagonal) and of rows; index 0 is toxic."""
-        rate = np.stack([np.diag(pairs[y]) for y in (0, 1)])
-        self.toxic, self.clean = ((rate[y] + (0.01, 0.001)[y]) / (n[y] + 1) for y in (0, 1))
-        self.toxic, self.clean = np.clip(self.toxic, 1e-6, 1 - 1e-6), np.clip(self.clean, 1e-6, 1 - 1e-6)
+    def refit(self, fires: np.ndarray, n: np.ndarray) -> None:
+        """Chances and prior from expected counts of each voter's firing and of rows; index 0 is toxic."""
+        self.toxic, self.clean = (np.clip((fires[y] + (0.01, 0.001)[y]) / (n[y] + 1), 1e-6, 1 - 1e-6) for y in (0, 1))
         self.prior = np.clip(n[0] / max(n.sum(), 1), 1e-6, 1 - 1e-6)
-        p = self.toxic
-        cov = pairs[0] / max(n[0], 1) - np.outer(p, p)
-        spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
-        corr = np.clip(cov / np.maximum(spread, 1e-9), 0, 1)
-        np.fill_diagonal(corr, 0)
-        self.weight = 1 / (1 + corr.sum(axis=1))
-
 
-def _expected(patterns: DataFrame, model: LabelModel) -> tuple[np.ndarray, np.ndarray]:
-    """Expected counts over all rows under the model; each task sends one row for each pair of voters it met."""
+    def correlated(self, i: np.ndarray, j: np.ndarray, together: np.ndarray, n: float) -> np.ndarray:
+        """For each voter the sum of its correlations among ``n`` toxic texts, from expected counts of pairs; each pair once, those that never fire together left out."""
+        p = self.toxic
+        spread = np.sqrt(p * (1 - p))
+        corr = np.clip((together / max(n, 1) - p[i] * p[j]) / np.maximum(spread[i] * spread[j], 1e-9), 0, 1)
+        return np.bincount(i, corr, len(p)) + np.bincount(j, corr, len(p))
+
+    def reweigh(self, correlated: np.ndarray) -> None:
+        self.weight = 1 / (1 + correlated)
+
+
+class Pairs:
+    """Sums by pair of voters, ``i < j``, of one task, which holds about ``room`` of them at most."""
+
+    def __init__(self, size: int, room: int) -> None:
+        self.size, self.room, self.codes, self.sums, self.held = size, room, [], [], 0
+
+    def add(self, fired: np.ndarray, share: float) -> Iterator[pa.RecordBatch]:
+        """Takes the pairs of one text, in blocks; yields what is to be sent before there is room for more."""
+        step = max(1, self.room // max(len(fired), 1))
+        for k in range(0, len(fired) - 1, step):
+            i, j = np.repeat(fired[k : k + step], len(fired)), np.tile(fired, len(fired[k : k + step]))
+            codes = (i * self.size + j)[i < j]
+            self.codes.append(codes)
+            self.sums.append(np.full(len(codes), share))
+            self.held += len(codes)
+            if self.held > 2 * self.room and self.squeeze() > self.room:
+                yield from self.sent()
+
+    def squeeze(self) -> int:
+        """Adds up equal pairs; how many there are."""
+        codes, at = np.unique(np.concatenate([np.zeros(0, "int64"), *self.codes]), return_inverse=True)
+        self.codes, self.sums, self.held = [codes], [np.bincount(at, np.concatenate([np.zeros(0), *self.sums]), len(codes))], len(codes)
+        return self.held
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        self.squeeze()
+        (codes,), (sums,) = self.codes, self.sums
+        for at in range(0, len(codes), 100_000):
+            c, x = codes[at : at + 100_000], sums[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c // self.size), pa.array(c % self.size), pa.array(x), pa.array(np.zeros(len(c)))], ["i", "j", "a", "b"])
+        self.codes, self.sums, self.held = [], [], 0
+
+
+def _expected(patterns: DataFrame, model: LabelModel) -> DataFrame:
+    """A kept table of expected counts over all rows under the model: ``a`` in toxic texts of each pair ``i < j`` that fires together, ``a`` and ``b`` in toxic and clean texts of each voter ``i = j``, and of rows, ``i = j = -1``."""
     size = len(model.toxic)
+    shared = patterns.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n = np.zeros((2, size, size)), np.zeros(2)
+        each, n, pairs = np.zeros((2, size)), np.zeros(2), Pairs(size, PAIRS)
         for b in batches:
             fired, known, count = (b.column(k).to_pylist() for k in range(3))
-            for f, y, c, p in zip(fired, known, count, model.posterior(fired), strict=True):
-                toxic = p if y is None else float(y)
-                for side, share in ((0, c * toxic), (1, c * (1 - toxic))):
-                    n[side] += share
-                    pairs[side][np.ix_(f, f)] += share
-        at = np.argwhere(pairs.sum(axis=0) > 0)
-        i, j = at[:, 0], at[:, 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(pairs[0][i, j], n[0])), pa.array(np.append(pairs[1][i, j], n[1]))], ["i", "j", "a", "b"])
-
-    pairs, n = np.zeros((2, size, size)), np.zeros(2)
-    for r in patterns.mapInArrow(run, "i long, j long, a double, b double").groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
+            fired = [np.array(f, "int64") for f in fired]
+            for f, y, c, p in zip(fired, known, count, shared.value.posterior(fired), strict=True):
+                share = c * (p if y is None else float(y))
+                n += share, c - share
+                each[0][f] += share
+                each[1][f] += c - share
+                if share:
+                    yield from pairs.add(f, share)
+        yield from pairs.sent()
+        at = np.flatnonzero(each.sum(axis=0))
+        ids = pa.array(np.append(at, -1))
+        yield pa.RecordBatch.from_arrays([ids, ids, pa.array(np.append(each[0][at], n[0])), pa.array(np.append(each[1][at], n[1]))], ["i", "j", "a", "b"])
+
+    return keep(patterns.mapInArrow(run, "i long, j long, a double, b double").groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "expected", sweep=False)
+
+
+def _refit(patterns: DataFrame, model: LabelModel) -> None:
+    """One round: chances from all rows, then weights from all pairs that fire together, whose correlations are summed by task and voter."""
+    expected, size = _expected(patterns, model), len(model.toxic)
+    fires, n = np.zeros((2, size)), np.zeros(2)
+    for r in expected.where("i = j").collect():
         if r.i < 0:
             n[:] = r.a, r.b
         else:
-            pairs[:, r.i, r.j] = r.a, r.b
-    return pairs, n
+            fires[:, r.i] = r.a, r.b
+    model.refit(fires, n)
+    shared = expected.sparkSession.sparkContext.broadcast((model, float(n[0])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (now, toxic), total = shared.value, np.zeros(size)
+        for b in batches:
+            total += now.correlated(*(b.column(k).to_numpy() for k in range(3)), toxic)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "c"])
+
+    total = np.zeros(size)
+    for r in expected.where("i < j").select("i", "j", "a").mapInArrow(run, "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).collect():
+        total[r.i] = r.c
+    model.reweigh(total)
+    forget(expected)
 
 
 def fit_logistic(rows: list[list[int]], target: np.ndarray, size: int, steps: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -256,10 +323,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n0 or not n1:
         return Lexicon({}, (n0, n1), 0)
     ratio = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    got = _counted(labelled).where(F.col("n1") >= least).select("token", "n1", ratio.alias("ratio")).where(F.col("ratio") > LIFT)
-    ranked = [r.token for r in got.orderBy(F.desc(F.col("ratio") * F.sqrt("n1")), "token").select("token").collect()]
+    got = _counted(labelled).where((F.col("n1") >= least) & (F.col("n1") >= SHARE * n1)).select("token", "n1", ratio.alias("ratio")).where(F.col("ratio") > LIFT)
+    votes = F.col("n1") >= COVERAGE * n1
+    ranked = [(r.token, r.votes) for r in got.select("token", votes.alias("votes"), (F.col("ratio") * F.sqrt("n1")).alias("z")).orderBy(F.desc("votes"), F.desc("z"), "token").collect()]
     forget(labelled)
-    return Lexicon({w: j for j, w in enumerate(ranked)}, (n0, n1), min(VOTERS, len(ranked)))
+    return Lexicon({w: j for j, (w, _) in enumerate(ranked)}, (n0, n1), sum(v for _, v in ranked))
 
 
 def find(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", name: str = "found") -> DataFrame:
@@ -291,7 +359,7 @@ def fit(found: DataFrame, labels: DataFrame, lexicon: Lexicon, id_col: str = "do
         fires[r.y, r.j] += r.n
     model = LabelModel(fires[1] / (n1 + 1), fires[0] / (n0 + 1), n1 / (n0 + n1))
     for _ in range(ROUNDS):
-        model.refit(*_expected(patterns, model))
+        _refit(patterns, model)
 
     n = patterns.agg(F.sum("n")).first()[0] or 0
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_ROWS / max(n, 1)))
