@@ -11,7 +11,8 @@ estimate is found by concentration steps: each takes the ``H`` part of rows
 nearest by Mahalanobis distance and refits mean and covariance to them. Three
 starts (medians with spreads from the quartiles, medians with equal spreads, mean
 and covariance of all rows) get ``TRIAL`` steps each; the one with the least
-determinant goes on until its determinant settles. The covariance is scaled so that the
+determinant goes on until its determinant no longer falls. A group that has settled takes no part in
+further steps, so a step reads the rows of the groups that still move. The covariance is scaled so that the
 median squared distance is that of a chi-square variable, and a row whose
 squared distance exceeds ``limit``, the 99.99 % quantile of that variable, is rejected.
 
@@ -185,14 +186,18 @@ def estimates(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LE
     best = F.min_by(F.struct("det", *_PARTS), F.struct("det", "_t")).alias("best")
     tried = groups.withColumnRenamed("_g", "_try").join(names, "_try")
     groups = keep(tried.groupBy("_g").agg(best).select("_g", "best.*"), "mcd", sweep=False)
+    done = []
     for _ in range(steps - TRIAL):
-        before, groups = groups, _step(rows, groups, h, small)
-        both = before.select("_g", "det").unionByName(groups.select("_g", "det")).groupBy("_g").agg((F.max("det") - F.min("det")).alias("moved"))
-        moved = both.agg(F.max("moved")).first()[0]
-        forget(before)
-        if moved is None or moved < SETTLED:
+        after = _step(rows, groups, h, small)
+        # With an exact cut a step never raises the determinant; one that a sketched cut raises goes round and round.
+        goes_on = F.coalesce(F.col("_before") - F.col("det") >= SETTLED, F.lit(False))
+        both = keep(after.join(groups.select("_g", F.col("det").alias("_before")), "_g").withColumn("_on", goes_on).drop("_before"), "mcd", sweep=False)
+        forget(after)
+        done.append(both.where("NOT _on").drop("_on"))
+        groups = both.where("_on").drop("_on")
+        if groups.isEmpty():
             break
-    groups = groups.select("_g", *_PARTS)
+    groups = reduce(DataFrame.unionByName, [*done, groups]).select("_g", *_PARTS)
     scale = _measured(rows, groups, small=small, how="inner").groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / _CHI2_MEDIAN[len(STATS)], F.lit(1.0)).alias("scale"))
     return keep(groups.join(scale, "_g"), "mcd", sweep=False)
 
