@@ -107,6 +107,48 @@ def test_a_group_of_near_copies_is_counted_not_compared(spark):
     assert got.where("kept").count() == 301
 
 
+def test_scratch_tables_and_rounds_stay_in_proportion(spark, monkeypatch, tmp_path):
+    """Vectors without clusters, all of which visit most lists: no table of visits is kept, and no round shuffles more than the table's rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x[2900:] = x[:100] + rng.normal(size=(100, 32)).astype(np.float32) * 0.1
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    kept, planned = [], []
+    monkeypatch.setattr(m, "keep", lambda df, name="table", sweep=True, f=m.keep: kept.append((name, f(df, name, sweep))) or kept[-1][1])
+    monkeypatch.setattr(m, "ROUND", 100, raising=False)
+    monkeypatch.setattr(vectors, "BLOCK", 1024)
+    if hasattr(m, "rounds"):
+        monkeypatch.setattr(m, "rounds", lambda *a, f=m.rounds: planned.append((a, f(*a))) or planned[-1][1])
+    got = m.dedup(df)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    assert max(t.count() for name, t in kept if name in ("visits", "links")) <= 3000
+    ((sizes, visits, block, most), found), = planned
+    assert most == 3000 and len(found) > 3
+    done = []
+    for some in found:
+        cost = [(end - at) * (visits[k] + -(-sizes[k] // pieces) * parts) for k, pieces, parts, at, end in some]
+        assert sum(cost) <= most or len(cost) == 1 and some[0][4] - some[0][3] == 1
+        done += [(k, p) for k, _, _, at, end in some for p in range(at, end)]
+    assert sorted(done) == [(k, p) for k in range(len(sizes)) if visits[k] for p in range(-(-sizes[k] // block))]
+
+
+def test_edges_of_blocks_shrink_to_a_forest():
+    rng = np.random.default_rng(4)
+    for n in (0, 10, 100, 400):
+        a, b = rng.integers(0, 200, n), rng.integers(0, 200, n)
+        child, root = m.spanning(a, b)
+        top = dict(zip(child.tolist(), root.tolist(), strict=True))
+        assert len(top) == len(child) and not set(top) & set(root.tolist())
+        want = {i: {i} for i in {*a.tolist(), *b.tolist()}}
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            both = want[i] | want[j]
+            for k in both:
+                want[k] = both
+        assert all(top.get(i, i) == min(s) for i, s in want.items())
+
+
 def test_empty_tables(spark):
     assert m.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     assert sorted(map(tuple, m.dedup(spark.createDataFrame([(2, None, 1), (1, [0.0], 1), (3, [1.0], 1)], SCHEMA)).collect())) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]

@@ -24,10 +24,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda c: c.isNotNull() & (x(c) < float("inf")) & (x(c) > float("-inf"))), F.lit(False))
 
 
-def padded(vector: Column, size: int) -> Column:
+def padded(vector: Column, size: int, kind: str = "array<double>") -> Column:
     """Shorter vectors continued with zeros."""
-    kind = "array<double>"
-    short = F.concat(vector.cast(kind), F.array_repeat(F.lit(0.0), F.lit(size) - F.size(vector)))
+    short = F.concat(vector.cast(kind), F.array_repeat(F.lit(0.0), F.lit(size) - F.size(vector)).cast(kind))
     return F.when(F.size(vector) < size, short).otherwise(vector.cast(kind))
 
 
